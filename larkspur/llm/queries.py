@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import table
 from larkspur.llm.exact_dedup import exact_dedup
+from larkspur.llm.line_dedup import line_dedup
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality_classifier import score_quality
 from larkspur.llm.quality_rules import quality_votes
 from larkspur.llm.sentencepieces import piece_digests
 from larkspur.llm.sharding import shard_by_bytes
+from larkspur.llm.substring_dedup import substring_dedup
 from larkspur.llm.url_filter import judge_urls
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +28,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BPE)
 
@@ -42,6 +49,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"), spaced=True)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_votes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
@@ -52,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_sentencepiece, op8_quality_rules, op10_url_filter)
+    f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_sentencepiece, op7_substring_dedup, op8_quality_rules, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
