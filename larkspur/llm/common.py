@@ -73,13 +73,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return hot.unionByName(cold.select(hot.columns))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text alone, the text as UTF-8 bytes; other columns, whatever their names, stay behind.
+def few_at_once(spark: SparkSession) -> None:
+    """Texts may be very long, so fewer of them travel to Python at once than by default."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
 
-    Very long texts: fewer of them travel to Python at once than by default.
-    """
-    if docs.sparkSession.conf.get(ARROW_ROWS) == "10000":
-        docs.sparkSession.conf.set(ARROW_ROWS, "1000")
+
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text alone, the text as UTF-8 bytes; other columns, whatever their names, stay behind."""
+    few_at_once(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"))
 
 

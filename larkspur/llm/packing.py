@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut, documents
 
 #: Words kept by a worker with their ids; a full cache starts anew.
-CACHED = 500_000
+CACHED = 1_000_000
 #: A single space between two characters that aren't white space: a token always starts at such a space.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: White space besides spaces and line feeds.
+_ODD = re.compile(r"[^\S \n]")
+#: Stands before a word with nothing in front; a key can't start with it otherwise.
+START = "\t"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long"
 
 
 class Bpe:
-    """ids of a tokenizers file, by words: each distinct word is encoded once as long as it stays in the cache."""
+    """ids of a tokenizers file, by words: each distinct word is encoded once as long as it stays in the cache.
+
+    The pre-tokenizer starts a token at each single space, and at each single line feed, that stands between two
+    characters that aren't white space. So texts whose white space is of that kind alone are cut there plainly;
+    others are cut at such spaces only.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,24 +41,41 @@ class Bpe:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Keys of the text's words: a word behind a space as it is, others behind the character in front or START."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
+            first, *rest = _BORDER.split(text)
+            return [START + first, *rest]
+        keys = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            keys += words
+        keys[0] = START + keys[0][1:]
+        return keys
+
+    def _encode(self, keys: list[str]) -> None:
+        words = [k[1:] if k[:1] == START else k if k[:1] == "\n" else " " + k for k in keys]
+        for key, found in zip(keys, self.model.encode_batch(words, add_special_tokens=False)):
+            self.words[key] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = []
-        for text in texts:
-            first, *rest = _BORDER.split(text)
-            split.append([first, *[" " + x for x in rest]])
-        new = {x for words in split for x in words} - self.words.keys()
-        if len(self.words) + len(new) > CACHED:
-            self.words.clear()
-            new = {x for words in split for x in words}
-        new = list(new)
-        for word, found in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > 100:
-                del self.words[word]
-        return out
+        split = [self.split(text) for text in texts]
+        known = self.words.get
+        found = [list(map(known, keys)) for keys in split]
+        new = {k for keys, ids in zip(split, found) if None in ids for k, i in zip(keys, ids) if i is None}
+        if new:
+            if len(self.words) + len(new) > CACHED:
+                self.words.clear()
+                new = {k for keys in split for k in keys}
+            self._encode(list(new))
+            found = [list(map(self.words.__getitem__, keys)) if None in ids else ids for keys, ids in zip(split, found)]
+            for key in new:
+                if len(key) > 100:
+                    del self.words[key]
+        return [b"".join(ids) for ids in found]
 
 
 _models: dict[str, Bpe] = {}

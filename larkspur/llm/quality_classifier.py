@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, documents
+from larkspur.llm.common import documents, few_at_once
 
 #: Words and shapes hash to SLOTS rows each; vectors have WIDTH numbers; the matrix travels in BLOCKS.
 SLOTS, WIDTH, BLOCKS, SPAN = 1 << 14, 32, 16, 2
@@ -163,39 +164,61 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted, one row per row of docs.
+class QualityModel:
+    """Word vectors of a corpus and the network fitted on its labelled rows; flat stands in where no network can be fitted."""
+
+    def __init__(self, vectors: np.ndarray, network: Network | None, flat: float):
+        self.vectors, self.network, self.flat = vectors, network, flat
+
+    def scores(self, bodies: list[bytes]) -> np.ndarray:
+        if not self.network:
+            return np.full(len(bodies), self.flat)
+        return self.network.score(pooled(bodies, self.vectors).astype(float))
+
 
-    Word vectors come from all rows of docs. The network learns from labelled rows that aren't held out (crc32 of
-    doc_id as text, modulo 5, is 0), at most sample of them. Null labels and labels of unknown documents don't count;
-    of several labels of a document the largest counts. Without labels of both classes the score is their mean, or
-    0.5 without any. Null texts score as empty ones: their pooled vector is zero. An empty table gives no rows.
+def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
+    """A model whose word vectors come from all rows of docs, and whose network learns from at most sample labelled rows.
 
-    Texts are read twice, for the vectors and for the pooling; the pooled numbers (264 bytes a row) are written once.
+    Rows that are held out (crc32 of doc_id as text, modulo 5, is 0) are never learnt from; of the others those of least
+    hash are. Null labels and labels of unknown documents don't count; of several labels of a document the largest does.
     """
-    spark = docs.sparkSession
     plain = documents(docs, id_col, text_col)
-    sent = spark.sparkContext.broadcast(word_vectors(plain))
+    vectors = word_vectors(plain)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("_label"))
+    known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pooled([b or b"" for b in batch["body"].to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "pooled"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_label"], pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "_label", "pooled"])
 
-    rows = cut(plain.mapInArrow(pool, "doc_id long, pooled binary").withColumn("held_out", held_out()))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("_label"))
-    known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    learnt = rows.join(F.broadcast(known), "doc_id").select("doc_id", "pooled", "_label").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # sample rows
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # 4 MB
+    learnt = plain.join(F.broadcast(known), "doc_id").mapInArrow(pool, "doc_id long, _label double, pooled binary").toPandas()  # sample rows of 264 bytes
+    learnt = learnt.sort_values(["doc_id", "pooled"]).drop_duplicates("doc_id")
     y = learnt["_label"].to_numpy(float)
-    model = None
-    if len(set(y)) > 1:
-        model = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y)
-    flat = float(y.mean()) if len(y) else 0.5
+    network = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y) if len(set(y)) > 1 else None
+    return QualityModel(vectors, network, float(y.mean()) if len(y) else 0.5)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([np.frombuffer(b, np.float32) for b in batch["pooled"].to_pylist()], float).reshape(batch.num_rows, -1)
-            found = model.score(x) if model else np.full(batch.num_rows, flat)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with its score as one more column, which replaces one of that name. Nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            bodies = [b or b"" for b in some]
+            yield pd.Series(np.concatenate([sent.value.scores(bodies[i : i + 500]) for i in range(0, len(bodies), 500)]) if bodies else [], dtype=float)
+
+    few_at_once(docs.sparkSession)
+    return docs.withColumn(score_col, F.pandas_udf(run, "double")(F.col(text_col).cast("string").cast("binary")))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted, one row per row of docs: see quality_model().
+
+    Without labels of both classes the score is their mean, or 0.5 without any. Null texts score as empty ones: their
+    pooled vector is zero. An empty table gives no rows. Texts are read for the vectors, for the sample and for the
+    scores, and never shuffled.
+    """
+    out = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), quality_model(docs, labels, id_col, text_col, label_col, sample))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

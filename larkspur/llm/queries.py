@@ -16,6 +16,7 @@ from larkspur.llm.quality_classifier import score_quality
 from larkspur.llm.quality_rules import quality_votes
 from larkspur.llm.sentencepieces import piece_digests
 from larkspur.llm.sharding import shard_by_bytes
+from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substring_dedup import substring_dedup
 from larkspur.llm.url_filter import judge_urls
 
@@ -59,12 +60,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_sentencepiece, op7_substring_dedup, op8_quality_rules, op10_url_filter)
+    f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_sentencepiece, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {

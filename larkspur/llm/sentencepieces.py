@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +15,6 @@ from larkspur.llm.common import documents
 MARK = "▁"
 #: Words and parts of words kept by a worker; a full cache starts anew.
 CACHED = 600_000
-_RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class PieceCodec:
@@ -52,6 +50,8 @@ class PieceCodec:
                 self.matcher.add_word(piece, (len(piece), i))
         self.matcher.make_automaton()
         self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Whether texts can't be cut before each line feed and each space mark.
+        self.whole = any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids)
         self.pairs: dict[int, bool] = {}
         self.parts: dict[str, list[int]] = {}
         self.words: dict[str, tuple[str, str]] = {}
@@ -138,27 +138,32 @@ class PieceCodec:
         text = self._bytes(ids).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def _word(self, run: str) -> tuple[str, str]:
-        """Decimal ids joined by commas, and the decoded text, of one space mark (or more) and what follows."""
-        if (known := self.words.get(run)) is None:
-            ids = self._escaped(run)
+    def _word(self, key: str) -> tuple[str, str]:
+        """Decimal ids joined by commas, and the decoded text, of a word behind a mark or, where key starts so, a line feed."""
+        if (known := self.words.get(key)) is None:
+            ids = self._escaped(key if key[:1] == "\n" else MARK + key)
             known = ",".join(map(str, ids)), self._bytes(ids).decode("utf-8", "replace").replace(MARK, " ")
             if len(self.words) >= CACHED:
                 self.words.clear()
-            if len(run) < 100:
-                self.words[run] = known
+            if len(key) < 100:
+                self.words[key] = known
         return known
 
     def encode_decode(self, text: str) -> tuple[str, str]:
         """The ids of text, in decimal and joined by commas, and decode() of them."""
         if not text:
             return "", ""
-        runs = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
-        if all(runs):
-            known = self.words.get
-            found = [known(r) or self._word(r) for r in [MARK + r for r in runs]]
-        else:
-            found = [self._word(r) for r in _RUNS.findall(MARK + text.replace(" ", MARK))]
+        if self.whole or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":  # runs of marks are units
+            ids = self.encode(text)
+            return ",".join(map(str, ids)), self.decode(ids)
+        keys = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            keys += words
+        keys[0] = keys[0][1:]
+        known = self.words.get
+        found = [known(k) or self._word(k) for k in keys]
         decoded = "".join([f[1] for f in found])
         return ",".join([f[0] for f in found]), decoded[1:] if decoded.startswith(" ") else decoded
 
