@@ -43,6 +43,9 @@ AT_ONCE, HOT = 1 << 19, 64
 #: Bytes of text that a task deals to buckets at a time.
 TEXT_AT_ONCE = 24 << 20
 
+#: Bytes of an entry in a packed row.
+ENTRY_SIZE = sum(np.dtype(KINDS[n]).itemsize for n in FIELDS)
+
 Tokenise = Callable[[bytes], list[bytes]]
 
 
@@ -76,6 +79,19 @@ def _joined(parts: list[dict[str, np.ndarray]], names: list[str]) -> dict[str, n
     return {n: np.concatenate([p[n] for p in parts]).astype(KINDS[n], copy=False) if parts else np.zeros(0, KINDS[n]) for n in names}
 
 
+def _entry_blob(entries: dict[str, np.ndarray]) -> bytes:
+    """Entries as their columns' bytes, nothing more: a task may send but a few to each of many buckets."""
+    return b"".join([entries[n].astype(KINDS[n], copy=False).tobytes() for n in FIELDS])
+
+
+def _entries_of(blob: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(blob) // ENTRY_SIZE, 0, {}
+    for name in FIELDS:
+        out[name] = np.frombuffer(blob, KINDS[name], n, at)
+        at += out[name].nbytes
+    return out
+
+
 def _at(arrays: dict[str, np.ndarray], where, names: list[str] | None = None) -> dict[str, np.ndarray]:
     return {n: arrays[n][where] for n in names or arrays}
 
@@ -127,7 +143,7 @@ def _sent(parts: list[dict], buckets: int, spread: int) -> Iterator[tuple[int, i
         e = {n: np.concatenate([e[n], notice[n]]) for n in e}
     order = np.lexsort((e["start"], e["tie"], e["doc"]))  # so that a bucket's documents ascend, and pack well
     for b, part in split_by(bucket[order].astype(np.int64), _at(e, order)):
-        yield b, ENTRIES, pack(**part)
+        yield b, ENTRIES, _entry_blob(part)
 
 
 def _document(doc, tie, key, check, start, count) -> dict[str, np.ndarray]:
@@ -169,7 +185,7 @@ def settle(entries: DataFrame) -> DataFrame:
                 if kind == MARKS:
                     out.append((bucket, MARKS, blob))
                 else:
-                    parts[kind].append(unpack(blob))
+                    parts[kind].append(_entries_of(blob))
         new, old = _joined(parts[ENTRIES], FIELDS), _joined(parts[RUN], FIELDS)
         e, was, first, repeats = _settle({n: np.concatenate([old[n], new[n]]) for n in FIELDS}, np.arange(len(old["key"]) + len(new["key"])) < len(old["key"]))
         if repeats.any():
@@ -182,7 +198,7 @@ def settle(entries: DataFrame) -> DataFrame:
             if mixed.any():
                 out.append((bucket, MIXED, pack(**_at(e, mixed, SPANS))))
             if not was.all():
-                out.append((bucket, RUN, pack(**_at(e, ~was))))
+                out.append((bucket, RUN, _entry_blob(_at(e, ~was))))
         yield packed_batch(out)
 
     return entries.groupBy("bucket").applyInArrow(run, PACKED)

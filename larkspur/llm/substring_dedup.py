@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import PACKED, buckets, cut, own_path, pack, packed_batch, remove_path, unpack
-from larkspur.llm.repeats import FIELDS, MARKS, MIXED, RUN, _at, _joined, block_entries, bodies, keyed, settle, to_documents, window_entries, without_marks, words
+from larkspur.llm.common import PACKED, buckets, cut, own_path, packed_batch, remove_path
+from larkspur.llm.repeats import FIELDS, MARKS, MIXED, RUN, _at, _entries_of, _entry_blob, _joined, block_entries, bodies, keyed, settle, to_documents, window_entries, without_marks, words
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -41,7 +41,7 @@ class FingerprintIndex:
         for run in self.runs:
             entries = entries.unionByName(self._read(run, RUN))
         path = self._next()
-        settle(entries).write.partitionBy("kind").parquet(path)
+        settle(entries).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         self.runs.append(path)
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -51,16 +51,16 @@ class FingerprintIndex:
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, bucket = [], 0
             for batch in batches:
-                parts += [unpack(b) for b in batch["blob"].to_pylist()]
+                parts += [_entries_of(b) for b in batch["blob"].to_pylist()]
                 bucket = batch["bucket"][0].as_py()
             whole = _joined(parts, FIELDS)
-            yield packed_batch([(bucket, RUN, pack(**_at(whole, np.lexsort((whole["check"], whole["key"])))))])
+            yield packed_batch([(bucket, RUN, _entry_blob(_at(whole, np.lexsort((whole["check"], whole["key"])))))])
 
         path = self._next()
         runs = self._read(self.runs[0], RUN)
         for run in self.runs[1:]:
             runs = runs.unionByName(self._read(run, RUN))
-        runs.groupBy("bucket").applyInArrow(merge, PACKED).write.partitionBy("kind").parquet(path)
+        runs.groupBy("bucket").applyInArrow(merge, PACKED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         for run in self.runs:
             remove_path(self.spark, f"{run}/kind={RUN}")
         self.runs = [path]
