@@ -1,4 +1,10 @@
 """All registered queries, with SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from larkspur.plans import enrichment, market, reports, streams, trips
+
+QUERIES, ORACLE_SQL = {}, {}
+for _module in (trips, market, enrichment, reports, streams):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
