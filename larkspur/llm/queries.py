@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import table
 from larkspur.llm.exact_dedup import exact_dedup
 from larkspur.llm.line_dedup import line_dedup
+from larkspur.llm.oracles import ORACLE_SQL  # noqa: F401  registered beside QUERIES
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality_classifier import score_quality
 from larkspur.llm.quality_rules import quality_votes
@@ -71,13 +72,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_sentencepiece, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_url_filter)
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_sharding": """
-        WITH s AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents),
-        p AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total,
-                     row_number() OVER (ORDER BY doc_id) AS nth FROM s),
-        c AS (SELECT doc_id, size, nth, least(15, ((2 * upto - size) * 16) // (2 * total))::INTEGER AS shard FROM p)
-        SELECT doc_id, size, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY nth) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM c
-    """,
-}
