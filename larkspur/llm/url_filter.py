@@ -20,27 +20,23 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled URLs that the model learns from (host, path, 1: block).
-LABELLED = (
-    ("cheap-pills.example.net", "/en/10.html", 1), ("blog.cheap-pills.example.org", "/en/buy", 1), ("best-casino.example.org", "/de/1", 1),
-    ("casino-bonus.example.net", "/es/win", 1), ("m.free-casino.example.org", "/fr/3", 1), ("win-prize.example.org", "/en/claim", 1),
-    ("free-prizes.example.net", "/en/7", 1), ("adult-video.example.org", "/de/88", 1), ("xxx-tube.example.net", "/en/video/5", 1),
-    ("hot-singles.example.org", "/fr/chat", 1), ("www.payday-loans.example.net", "/en/apply", 1), ("quick-loans.example.org", "/es/22", 1),
-    ("buy-followers.example.net", "/en/9", 1), ("cheap-meds.example.org", "/en/order", 1), ("pills-online.example.net", "/de/41", 1),
-    ("discount-pills.example.org", "/fr/5.html", 1), ("replica-watches.example.net", "/en/shop", 1), ("poker-bonus.example.org", "/de/join", 1),
-    ("betting-tips.example.net", "/es/8", 1), ("spam-links.example.org", "/en/links", 1), ("free-download-crack.example.net", "/en/key", 1),
-    ("blog.warez-crack.example.org", "/de/2", 1), ("porn-pics.example.net", "/en/6", 1), ("sexy-cams.example.org", "/en/live", 1),
-    ("library.example.org", "/en/catalogue", 0), ("www.university.example.org", "/de/courses/3", 0), ("news.example.net", "/en/2020/article.html", 0),
-    ("blog.gardening.example.org", "/fr/tomatoes", 0), ("museum.example.net", "/de/exhibits/12", 0), ("m.weather.example.org", "/es/madrid", 0),
-    ("recipes.example.net", "/en/soup?page=2", 0), ("www.history.example.org", "/en/1815.html", 0), ("science.example.net", "/de/physics", 0),
-    ("travel.example.org", "/fr/alps", 0), ("code.example.net", "/en/docs/api", 0), ("music.example.org", "/es/guitar", 0),
-    ("blog.therhe.example.org", "/en/24121", 0), ("tionsh.example.net", "/de/7536", 0), ("m.thther.example.org", "/es/2577", 0),
-    ("www.therth.example.org", "/en/6935.html", 0), ("ththan.example.net", "/en/26447", 0), ("m.ththat.example.net", "/en/13774", 0),
-    ("blog.thernt.example.net", "/en/7891.html", 0), ("ththon.example.net", "/de/8193", 0), ("thered.example.org", "/es/7266/", 0),
-    ("forum.example.org", "/de/thread/77", 0), ("health-ministry.example.net", "/en/advice", 0), ("city-council.example.org", "/fr/contact", 0),
-)
+#: hosts' names that the labelled URLs are made of.
+BAD = (
+    "discount-pills pills-online cheap-meds best-casino casino-bonus poker-bonus slot-machine-wins betting-tips sports-bets bet-now free-prizes win-prize free-download-crack warez-crack "
+    "adult-video adult-cams xxx-tube hot-singles spam-links link-farm content-farm ads-server popup-ads track-clicks ad-tracker payday-loans quick-loans buy-followers replica-watches cheap-watches free-money win-cash"
+).split()
+GOOD = (
+    "library university news gardening museum weather recipes history science travel code music forum health-ministry city-council therhe tionsh thther ontio reath "
+    "school theatre physics mountains painting chess railway farmers-market book-club open-data river-trail language poetry"
+).split()
+FRONTS, ENDS, PATHS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("/en/101.html", "/de/7", "/fr/52/", "/es/9", "/", "/en/page", "")
+
+SLOTS, GRAMS, ROUNDS, RATE, DECAY = 1 << 13, (3, 4, 5), 300, 20.0, 1e-4
+
 
-SLOTS, GRAMS, ROUNDS, RATE, DECAY = 1 << 13, (3, 4, 5), 400, 2.0, 1e-4
+def labelled() -> list[tuple[str, str, int]]:
+    """The small labelled table: host, path, 1 for block. Fronts, ends and paths are dealt alike to both kinds, so they tell nothing; what has no host is no reason to block."""
+    return [(f"{front}{name}.example.{ENDS[(i + j) % len(ENDS)]}", PATHS[(2 * i + j) % len(PATHS)], bad) for bad, names in ((1, BAD), (0, GOOD)) for i, name in enumerate(names) for j, front in enumerate(FRONTS)] + [("", "", 0)] * len(FRONTS)
 
 
 @lru_cache(maxsize=200_000)
@@ -56,9 +52,10 @@ def _features(host: str, path: str) -> tuple[int, ...]:
 
 
 class UrlModel:
-    """Logistic regression over mean-pooled hashed n-grams, fitted by full-batch gradient descent."""
+    """Logistic regression over pooled hashed n-grams, fitted by full-batch gradient descent."""
 
-    def __init__(self, rows=LABELLED):
+    def __init__(self, rows: list[tuple[str, str, int]] | None = None):
+        rows = labelled() if rows is None else rows
         x = np.zeros((len(rows), SLOTS))
         for i, (host, path, _) in enumerate(rows):
             at = list(_features(host, path))
@@ -68,13 +65,18 @@ class UrlModel:
         for _ in range(ROUNDS):
             error = 1 / (1 + np.exp(-(x @ self.weights + self.bias))) - y
             self.weights -= RATE * (x.T @ error / len(y) + DECAY * self.weights)
-            self.bias -= RATE * error.mean()
+            self.bias -= RATE / 10 * error.mean()
 
     def score(self, host: str, path: str) -> float:
         at = list(_features(host, path))
         return float(1 / (1 + np.exp(-(self.weights[at].sum() / max(1, len(at)) ** 0.5 + self.bias))))
 
 
+@lru_cache(maxsize=1)
+def own_model() -> UrlModel:
+    return UrlModel()
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null or without '://'."""
     known = F.coalesce(url.contains("://"), F.lit(False))
@@ -102,8 +104,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         best = F.when(_fits(rule), rule[0] + rule[1]).otherwise(best)
         verdict = F.when(_fits(rule), rule[2]).otherwise(verdict)
 
+    sent = pages.sparkSession.sparkContext.broadcast(own_model())  # SLOTS weights
+
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = UrlModel()  # fitted in each task: 48 rows, a fraction of a second
+        model = sent.value
         for hosts, paths in batches:
             yield pd.Series([model.score(h, p) for h, p in zip(hosts, paths)], dtype=float)
 

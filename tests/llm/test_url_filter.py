@@ -1,4 +1,4 @@
-from larkspur.llm.url_filter import LABELLED, RULES, UrlModel, judge_urls
+from larkspur.llm.url_filter import RULES, UrlModel, judge_urls, labelled
 
 
 def slow(url):
@@ -36,7 +36,7 @@ def test_all_pages(spark):
 
 
 def test_learns_its_table_and_unseen_hosts():
-    assert all((slow.model.score(h, p) >= 0.5) == bool(y) for h, p, y in LABELLED)
+    assert all((slow.model.score(h, p) >= 0.5) == bool(y) for h, p, y in labelled())
     assert slow.model.score("buy-cheap-pills.example.net", "/en/3") > 0.5 > slow.model.score("www.library.example.org", "/en/books")
 
 
