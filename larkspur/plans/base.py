@@ -9,25 +9,30 @@ from pyspark.sql import functions as F
 
 from larkspur.sources.tables import load
 
-#: The same records in SQL; queries put their own WITH parts behind it.
-TRIPS_SQL = """WITH trips AS (
-    SELECT o.o_orderdate AS pickup, l.l_shipdate AS dropoff, l.l_extendedprice AS fare, l.l_quantity AS distance,
-           l.l_linenumber::DOUBLE AS passengers, l.l_discount AS tip, l.l_returnflag AS operator, l.l_linestatus AS shared,
-           o.o_orderpriority AS service, s.s_nationkey AS pu_zone, c.c_nationkey AS do_zone, l.l_orderkey AS trip_id
-    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-    JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
+#: Zones of a trip: the nations of its supplier and of its customer, joined only where a query asks for them.
+PU, DO = "pu", "do"
 
 
-def trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as trips: ordered is picked up, shipped is dropped off; zones are the nations of supplier and customer.
+def trips_sql(*roles: str) -> str:
+    """The same records as trips() in SQL, as a WITH part; queries put their own parts behind it."""
+    zones = {PU: ("s.s_nationkey AS pu_zone", "JOIN supplier s ON l.l_suppkey = s.s_suppkey"), DO: ("c.c_nationkey AS do_zone", "JOIN customer c ON o.o_custkey = c.c_custkey")}
+    columns, joins = "".join(f", {zones[r][0]}" for r in roles), " ".join(zones[r][1] for r in roles)
+    return f"""WITH trips AS (
+    SELECT o.o_orderdate AS pickup, l.l_shipdate AS dropoff, l.l_extendedprice AS fare, l.l_quantity AS distance, l.l_linenumber::DOUBLE AS passengers, l.l_discount AS tip,
+           l.l_returnflag AS operator, l.l_linestatus AS shared, o.o_orderpriority AS service, l.l_orderkey AS trip_id{columns}
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey {joins})"""
 
-    All four tables grow with the data, so no join is forced: Catalyst broadcasts what its statistics allow.
+
+def trips(spark: SparkSession, folder: str, *roles: str) -> DataFrame:
+    """Line items as trips: ordered is picked up, shipped is dropped off.
+
+    All tables grow with the data, so no join is forced: Catalyst broadcasts what its statistics allow.
     """
-    line = load(spark, folder, "lineitem")
-    orders = load(spark, folder, "orders")
-    supplier = load(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("pu_zone"))
-    customer = load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("do_zone"))
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = load(spark, folder, "lineitem").join(load(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if PU in roles:
+        rows = rows.join(load(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("pu_zone")), F.col("l_suppkey") == F.col("s_suppkey"))
+    if DO in roles:
+        rows = rows.join(load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("do_zone")), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
         F.col("o_orderdate").alias("pickup"),
         F.col("l_shipdate").alias("dropoff"),
@@ -38,9 +43,8 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_returnflag").alias("operator"),
         F.col("l_linestatus").alias("shared"),
         F.col("o_orderpriority").alias("service"),
-        "pu_zone",
-        "do_zone",
         F.col("l_orderkey").alias("trip_id"),
+        *[f"{r}_zone" for r in roles],
     )
 
 

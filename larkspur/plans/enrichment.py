@@ -9,7 +9,7 @@ from larkspur.functions import dates, geometry, numbers
 from larkspur.functions.numbers import rounded
 from larkspur.operators import aggregates as agg
 from larkspur.operators import demand, enrich, spatial
-from larkspur.plans.base import TRIPS_SQL, registrar, trips
+from larkspur.plans.base import DO, PU, registrar, trips, trips_sql
 from larkspur.sources.sinks import as_json
 from larkspur.sources.tables import load
 
@@ -24,12 +24,12 @@ def _zones(spark: SparkSession, sf: str) -> DataFrame:
 _ZONES = "zones AS (SELECT n_nationkey AS zone, n_name AS name, r_name AS borough FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query(TRIPS_SQL + f""", {_ZONES} SELECT p.borough AS PU_borough, d.borough AS DO_borough, count(*) AS trips, round(1e-9 + sum(fare + coalesce(tip, 0)), 2) AS total
+@query(trips_sql(PU, DO) + f""", {_ZONES} SELECT p.borough AS PU_borough, d.borough AS DO_borough, count(*) AS trips, round(1e-9 + sum(fare + coalesce(tip, 0)), 2) AS total
     FROM trips LEFT JOIN zones p ON pu_zone = p.zone LEFT JOIN zones d ON do_zone = d.zone WHERE dropoff > pickup AND distance > 0 AND distance < 200 AND fare >= 0 GROUP BY 1, 2""")
 def role_double_join(spark: SparkSession, sf: str) -> DataFrame:
     """One zone table in two roles; the filter needs no zone, so it runs below both joins."""
     zones, c = _zones(spark, sf), F.col
-    rows = enrich.look_up(trips(spark, sf), zones, {"pu_zone": "zone"}, "PU_")
+    rows = enrich.look_up(trips(spark, sf, PU, DO), zones, {"pu_zone": "zone"}, "PU_")
     rows = enrich.look_up(rows, zones, {"do_zone": "zone"}, "DO_")
     rows = rows.where((c("dropoff") > c("pickup")) & (c("distance") > 0) & (c("distance") < 200) & (c("fare") >= 0))
     return rows.groupBy("PU_borough", "DO_borough").agg(F.count("*").alias("trips"), rounded(F.sum(c("fare") + F.coalesce(c("tip"), F.lit(0.0))), 2).alias("total"))
@@ -73,10 +73,10 @@ def zone_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return out.na.fill(0, list(parts))
 
 
-@query(TRIPS_SQL + """ SELECT service, pu_zone, year(pickup)::INTEGER AS year, month(pickup)::INTEGER AS month, day(pickup)::INTEGER AS day, hour(pickup)::INTEGER AS hour, (isodow(pickup) - 1)::INTEGER AS dow,
+@query(trips_sql(PU) + """ SELECT service, pu_zone, year(pickup)::INTEGER AS year, month(pickup)::INTEGER AS month, day(pickup)::INTEGER AS day, hour(pickup)::INTEGER AS hour, (isodow(pickup) - 1)::INTEGER AS dow,
     count(*) AS trip_count FROM trips WHERE pu_zone IS NOT NULL AND pickup IS NOT NULL GROUP BY ALL""")
 def zone_hour_demand(spark: SparkSession, sf: str) -> DataFrame:
-    return demand.zone_hour_demand(trips(spark, sf), "pu_zone", "pickup", (), "service")
+    return demand.zone_hour_demand(trips(spark, sf, PU), "pu_zone", "pickup", (), "service")
 
 
 _DEMAND = """WITH d AS (SELECT user_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, isodow(ts) - 1 AS dow, count(*) AS trip_count, max(0.6::DOUBLE) AS rain FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
@@ -103,7 +103,7 @@ def constant_columns(spark: SparkSession, sf: str) -> DataFrame:
     return wide.unpivot([], list(names), "feature", "different").where("different <= 1")
 
 
-@query(TRIPS_SQL + ", p AS (SELECT fare AS y, avg(fare) OVER (PARTITION BY operator) AS yhat FROM trips) SELECT count(*) AS n, round(1e-9 + sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(1e-9 + avg(abs(y - yhat)), 4) AS mae, round(1e-9 + 1 - avg((y - yhat) ** 2) / var_pop(y), 6) AS r2 FROM p")
+@query(trips_sql() + ", p AS (SELECT fare AS y, avg(fare) OVER (PARTITION BY operator) AS yhat FROM trips) SELECT count(*) AS n, round(1e-9 + sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(1e-9 + avg(abs(y - yhat)), 4) AS mae, round(1e-9 + 1 - avg((y - yhat) ** 2) / var_pop(y), 6) AS r2 FROM p")
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of each operator's mean fare: the means are a few rows, which adaptive execution sees and broadcasts."""
     rows = trips(spark, sf).select("operator", "fare")
@@ -167,7 +167,7 @@ def bernoulli_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = demand.zone_hour_demand(trips(spark, sf), "pu_zone", "pickup")
+    rows = demand.zone_hour_demand(trips(spark, sf, PU), "pu_zone", "pickup")
     rows = demand.demand_features(rows, 1995)
     return rows.where("year < 2000"), rows.where("year >= 2000")
 

@@ -9,14 +9,14 @@ from larkspur.functions import numbers
 from larkspur.functions.numbers import rounded
 from larkspur.operators import aggregates as agg
 from larkspur.operators import enrich
-from larkspur.plans.base import TRIPS_SQL, registrar, trips
+from larkspur.plans.base import registrar, trips, trips_sql
 from larkspur.plans.trips import OPERATORS, SERVICES
 
 QUERIES, ORACLE_SQL, query = registrar()
 NAMES = dict(zip(SERVICES, ("urgent", "high", "medium", "plain", "low")))
 FIRMS = ("Alpha", "North", "Rapid", "Other")
 
-_MONTHS = TRIPS_SQL + ", t AS (SELECT date_trunc('month', pickup)::DATE AS date, service, operator FROM trips WHERE pickup IS NOT NULL), m AS (SELECT date, " + ", ".join(
+_MONTHS = trips_sql() + ", t AS (SELECT date_trunc('month', pickup)::DATE AS date, service, operator FROM trips WHERE pickup IS NOT NULL), m AS (SELECT date, " + ", ".join(
     f"count(*) FILTER (service = '{s}') AS {n}" for s, n in NAMES.items()) + ", " + ", ".join(f"count(*) FILTER (operator = '{c}') AS {f}" for c, f in OPERATORS.items()) + ", 0::BIGINT AS Other FROM t GROUP BY 1)"
 
 
@@ -24,34 +24,39 @@ def _month() -> F.Column:
     return F.trunc(F.col("pickup").cast("date"), "month").alias("date")
 
 
-def _services(spark: SparkSession, sf: str) -> list[DataFrame]:
-    rows = trips(spark, sf).groupBy(_month(), "service").agg(F.count("*").alias("trips"))
+def _cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Trips by month, service and operator; all that is below it is scanned and shuffled once, however often it is used."""
+    return trips(spark, sf).groupBy(_month(), "service", "operator").agg(F.count("*").alias("trips"))
+
+
+def _services(cube: DataFrame) -> list[DataFrame]:
+    rows = cube.groupBy("date", "service").agg(F.sum("trips").alias("trips"))
     return [rows.where(F.col("service") == s).select("date", F.col("trips").alias(n)) for s, n in NAMES.items()]
 
 
-def _operators(spark: SparkSession, sf: str) -> DataFrame:
+def _operators(cube: DataFrame) -> DataFrame:
     """One column for each firm, those without trips included."""
-    rows = trips(spark, sf).groupBy(_month(), enrich.mapped(F.col("operator"), OPERATORS, "Other").alias("company")).agg(F.count("*").alias("trips"))
+    rows = cube.withColumn("company", enrich.mapped(F.col("operator"), OPERATORS, "Other"))
     return enrich.columns_by(rows, "date", "company", FIRMS, "trips").na.fill(0)
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
     """Services and operators by month. The services' columns come by one pivot, which is the chain of outer joins."""
-    rows = trips(spark, sf).groupBy(_month(), "service").agg(F.count("*").alias("trips"))
-    services = enrich.columns_by(rows, "date", "service", SERVICES, "trips").na.fill(0).withColumnsRenamed(NAMES)
-    out = enrich.outer_chain([services, _operators(spark, sf)], "date")
+    cube = _cube(spark, sf)
+    services = enrich.columns_by(cube, "date", "service", SERVICES, "trips").na.fill(0).withColumnsRenamed(NAMES)
+    out = enrich.outer_chain([services, _operators(cube)], "date")
     return out.withColumns({"large": F.col("Alpha") + F.col("North"), "small": F.col("Rapid") + F.col("Other"), "all_total": sum((F.col(n) for n in NAMES.values()), F.lit(0)).cast("long")})
 
 
 @query(_MONTHS + " SELECT date, " + ", ".join(NAMES.values()) + " FROM m")
 def monthly_outer_chain(spark: SparkSession, sf: str) -> DataFrame:
     """One table for each service, joined on all their dates."""
-    return enrich.outer_chain(_services(spark, sf), "date")
+    return enrich.outer_chain(_services(_cube(spark, sf)), "date")
 
 
 @query(_MONTHS + " SELECT date, Alpha, North, Rapid, Other FROM m")
 def operator_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return _operators(spark, sf)
+    return _operators(_cube(spark, sf))
 
 
 @query(_MONTHS + " SELECT *, Alpha + North AS large, Rapid + Other AS small, urgent + high + medium + plain + low AS all_total FROM m")
@@ -86,7 +91,7 @@ def reconciliation(spark: SparkSession, sf: str) -> DataFrame:
         F.median("diff").alias("median_diff"), F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("months"))
 
 
-@query(TRIPS_SQL + """, n AS (SELECT operator, service, count(*) AS n FROM trips GROUP BY 1, 2), p AS (SELECT operator, service, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY operator) AS percent FROM n)
+@query(trips_sql() + """, n AS (SELECT operator, service, count(*) AS n FROM trips GROUP BY 1, 2), p AS (SELECT operator, service, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY operator) AS percent FROM n)
     SELECT operator, """ + ", ".join(f"round(1e-9 + max(percent) FILTER (service = '{s}'), 6) AS {n}" for s, n in NAMES.items()) + " FROM p GROUP BY 1")
 def cluster_share(spark: SparkSession, sf: str) -> DataFrame:
     """Services in percent of each operator's trips, as columns."""
@@ -95,7 +100,7 @@ def cluster_share(spark: SparkSession, sf: str) -> DataFrame:
     return wide.withColumnsRenamed(NAMES)
 
 
-@query(TRIPS_SQL + " SELECT year(pickup)::INTEGER AS year, " + ", ".join(f"count(*) FILTER (operator = '{c}') AS {f}_trips, round(1e-9 + avg(fare) FILTER (operator = '{c}'), 4) AS {f}_fare" for c, f in OPERATORS.items()) + " FROM trips GROUP BY 1")
+@query(trips_sql() + " SELECT year(pickup)::INTEGER AS year, " + ", ".join(f"count(*) FILTER (operator = '{c}') AS {f}_trips, round(1e-9 + avg(fare) FILTER (operator = '{c}'), 4) AS {f}_fare" for c, f in OPERATORS.items()) + " FROM trips GROUP BY 1")
 def multi_level_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Two aggregates for each operator, with flat names."""
     wide = trips(spark, sf).withColumn("year", F.year("pickup")).groupBy("year").pivot("operator", list(OPERATORS)).agg(F.count(F.lit(1)).alias("trips"), rounded(F.avg("fare"), 4).alias("fare"))

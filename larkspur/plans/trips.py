@@ -10,7 +10,7 @@ from larkspur.functions.numbers import rounded
 from larkspur.operators import aggregates as agg
 from larkspur.operators import quality
 from larkspur.operators.enrich import mapped
-from larkspur.plans.base import TRIPS_SQL, registrar, trips
+from larkspur.plans.base import DO, PU, registrar, trips, trips_sql
 from larkspur.sources.tables import load
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -64,12 +64,12 @@ def service_columns_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).pivot("o_orderpriority", list(SERVICES)).agg(F.count(F.lit(1))).select("year", *[F.when(F.col(s) > 0, F.col(s)).alias(s) for s in SERVICES])
 
 
-_BUCKETS = TRIPS_SQL + """, b AS (SELECT year(pickup)::INTEGER AS year, pu_zone, (floor(fare / 5000) * 5000)::BIGINT AS fare_bucket,
+_BUCKETS = trips_sql(PU) + """, b AS (SELECT year(pickup)::INTEGER AS year, pu_zone, (floor(fare / 5000) * 5000)::BIGINT AS fare_bucket,
     avg(fare) AS avg_fare, avg(distance) AS avg_dist, count(*) AS trips FROM trips WHERE fare > 0 AND distance > 0 GROUP BY 1, 2, 3)"""
 
 
 def _fares(spark: SparkSession, sf: str) -> DataFrame:
-    rows = trips(spark, sf).where(numbers.positive(F.col("fare")) & numbers.positive(F.col("distance")))
+    rows = trips(spark, sf, PU).where(numbers.positive(F.col("fare")) & numbers.positive(F.col("distance")))
     by = [F.year("pickup").alias("year"), "pu_zone", numbers.bucket(F.col("fare"), 5000).alias("fare_bucket")]
     return rows.groupBy(*by).agg(F.avg("fare").alias("avg_fare"), F.avg("distance").alias("avg_dist"), F.count("*").alias("trips"))
 
@@ -90,25 +90,25 @@ def fare_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _zone_counts(spark: SparkSession, sf: str, zone: str) -> DataFrame:
-    return trips(spark, sf).where(F.col(zone).isNotNull()).groupBy(F.col(zone).cast("long").alias("zone")).agg(F.count("*").alias("trips"))
+    return trips(spark, sf, zone[:2]).where(F.col(zone).isNotNull()).groupBy(F.col(zone).cast("long").alias("zone")).agg(F.count("*").alias("trips"))
 
 
-@query(TRIPS_SQL + " SELECT pu_zone::BIGINT AS zone, count(*) AS trips FROM trips WHERE pu_zone IS NOT NULL GROUP BY 1")
+@query(trips_sql(PU) + " SELECT pu_zone::BIGINT AS zone, count(*) AS trips FROM trips WHERE pu_zone IS NOT NULL GROUP BY 1")
 def zone_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _zone_counts(spark, sf, "pu_zone")
 
 
-@query(TRIPS_SQL + " SELECT pu_zone::BIGINT AS zone, count(*) AS trips FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(trips_sql(PU) + " SELECT pu_zone::BIGINT AS zone, count(*) AS trips FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top10_pickup_zones(spark: SparkSession, sf: str) -> DataFrame:
     return agg.top(_zone_counts(spark, sf, "pu_zone"), "trips", 10, "zone")
 
 
-@query(TRIPS_SQL + " SELECT do_zone::BIGINT AS zone, count(*) AS trips FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(trips_sql(DO) + " SELECT do_zone::BIGINT AS zone, count(*) AS trips FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top10_dropoff_zones(spark: SparkSession, sf: str) -> DataFrame:
     return agg.top(_zone_counts(spark, sf, "do_zone"), "trips", 10, "zone")
 
 
-@query(TRIPS_SQL + """ SELECT r_name AS borough, sum(coalesce(trips, 0))::BIGINT AS trips, round(1e-9 + 100.0::DOUBLE * sum(coalesce(trips, 0)) / sum(sum(coalesce(trips, 0))) OVER (), 4) AS percent
+@query(trips_sql(PU) + """ SELECT r_name AS borough, sum(coalesce(trips, 0))::BIGINT AS trips, round(1e-9 + 100.0::DOUBLE * sum(coalesce(trips, 0)) / sum(sum(coalesce(trips, 0))) OVER (), 4) AS percent
     FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT pu_zone, count(*) AS trips FROM trips GROUP BY 1) ON n_nationkey = pu_zone GROUP BY 1""")
 def region_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Zones with and without trips, summed by borough; the percentage window spans the boroughs alone."""
@@ -117,22 +117,22 @@ def region_totals(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy(F.col("r_name").alias("borough")).agg(F.sum("trips").alias("trips")).withColumn("percent", rounded(agg.share_within("trips"), 4))
 
 
-@query(TRIPS_SQL + """ SELECT year(pickup)::INTEGER AS year, CASE operator WHEN 'A' THEN 'Alpha' WHEN 'N' THEN 'North' WHEN 'R' THEN 'Rapid' ELSE 'Other' END AS company,
+@query(trips_sql() + """ SELECT year(pickup)::INTEGER AS year, CASE operator WHEN 'A' THEN 'Alpha' WHEN 'N' THEN 'North' WHEN 'R' THEN 'Rapid' ELSE 'Other' END AS company,
     count(*) AS trips, sum(CASE WHEN shared IN ('O', '1') THEN 1 ELSE 0 END)::BIGINT AS shared FROM trips GROUP BY 1, 2""")
 def operator_conditional_sum(spark: SparkSession, sf: str) -> DataFrame:
     rows = trips(spark, sf).groupBy(F.year("pickup").alias("year"), "operator").agg(F.count("*").alias("trips"), F.count_if(F.col("shared").isin("O", "1")).alias("shared"))
     return rows.select("year", mapped(F.col("operator"), OPERATORS, "Other").alias("company"), "trips", "shared")
 
 
-@query(TRIPS_SQL + """ SELECT zone, sum(n)::BIGINT AS total FROM (SELECT pu_zone::BIGINT AS zone, count(*) AS n FROM trips GROUP BY 1
+@query(trips_sql(PU, DO) + """ SELECT zone, sum(n)::BIGINT AS total FROM (SELECT pu_zone::BIGINT AS zone, count(*) AS n FROM trips GROUP BY 1
     UNION ALL SELECT do_zone::BIGINT, count(*) FROM trips GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def top_locations_union(spark: SparkSession, sf: str) -> DataFrame:
     """Pickups and dropoffs by zone from one scan: both zones of a trip, exploded."""
-    ends = trips(spark, sf).select(F.explode(F.array(F.col("pu_zone").cast("long"), F.col("do_zone").cast("long"))).alias("zone"))
+    ends = trips(spark, sf, PU, DO).select(F.explode(F.array(F.col("pu_zone").cast("long"), F.col("do_zone").cast("long"))).alias("zone"))
     return agg.top(ends.groupBy("zone").agg(F.count("*").alias("total")), "total", 10, "zone")
 
 
-_QUALITY = TRIPS_SQL + """, f AS (SELECT *, 1998 AS file_year, coalesce(year(pickup), 1998)::INTEGER AS year, (dropoff IS NOT NULL AND dropoff <> TIMESTAMP '1989-01-01') AS ok FROM trips),
+_QUALITY = trips_sql() + """, f AS (SELECT *, 1998 AS file_year, coalesce(year(pickup), 1998)::INTEGER AS year, (dropoff IS NOT NULL AND dropoff <> TIMESTAMP '1989-01-01') AS ok FROM trips),
 q AS (SELECT service, year, count(*) AS total_rows, """ + ", ".join(f"(count(*) FILTER ({cond}))::BIGINT AS {name}" for name, cond in {
     "invalid_year": "abs(year - file_year) > 1", "null_pickup": "pickup IS NULL", "null_dropoff": "dropoff IS NULL", "placeholder_dropoff": "dropoff = TIMESTAMP '1989-01-01'",
     "same_timestamps": "ok AND pickup = dropoff", "negative_duration": "ok AND dropoff < pickup", "excessive_duration": "ok AND dropoff > pickup + INTERVAL 24 HOUR",
@@ -167,7 +167,7 @@ def active_issue_columns(spark: SparkSession, sf: str) -> DataFrame:
     return wide.unpivot([], list(quality.ISSUES), "issue", "found").where("found > 0")
 
 
-@query(TRIPS_SQL + " SELECT trip_id, count(*) AS n, sum(fare + 2 * coalesce(tip, 0))::DECIMAL(20, 2)::DOUBLE AS total FROM trips WHERE dropoff > pickup AND distance > 0 AND distance < 40 AND fare >= 0 AND fare BETWEEN 0 AND 50000 AND year(pickup) = 1998 GROUP BY 1")
+@query(trips_sql() + " SELECT trip_id, count(*) AS n, sum(fare + 2 * coalesce(tip, 0))::DECIMAL(20, 2)::DOUBLE AS total FROM trips WHERE dropoff > pickup AND distance > 0 AND distance < 40 AND fare >= 0 AND fare BETWEEN 0 AND 50000 AND year(pickup) = 1998 GROUP BY 1")
 def stream_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     rows = trips(spark, sf).where((c("dropoff") > c("pickup")) & (c("distance") > 0) & (c("distance") < 40) & (c("fare") >= 0) & c("fare").between(0, 50000))
