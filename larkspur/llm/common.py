@@ -53,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def buckets(spark: SparkSession, each: int = 1) -> int:
+def buckets(spark: SparkSession, each: int = 2) -> int:
     """How many buckets the hashed work is dealt to: it follows spark.sql.shuffle.partitions, which follows the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions")) * each | 1
 
