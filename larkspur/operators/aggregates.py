@@ -86,3 +86,16 @@ def varying(rows: DataFrame, columns: Sequence[str]) -> list[str]:
     """The columns with more than one value, nulls aside, from one aggregation."""
     row = rows.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c]]
+
+
+def paired(one: DataFrame, other: DataFrame, label: str, metrics: Sequence[str], names: tuple[str, str] = ("base", "new")) -> DataFrame:
+    """Two result sets side by side by label, with each metric's improvement in percent of the first (null where that is 0)."""
+    a = one.select(label, *[F.col(m).alias(f"{m}_{names[0]}") for m in metrics])
+    b = other.select(label, *[F.col(m).alias(f"{m}_{names[1]}") for m in metrics])
+    gain = {f"{m}_gain": (F.col(f"{m}_{names[0]}") - F.col(f"{m}_{names[1]}")) / F.nullif(F.col(f"{m}_{names[0]}").cast("double"), F.lit(0.0)) * 100 for m in metrics}
+    return a.join(b, label).withColumns(gain)
+
+
+def shuffled(rows: DataFrame, seed: int) -> DataFrame:
+    """rows in an order drawn from seed."""
+    return rows.orderBy(F.rand(seed))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import labels
+from larkspur.operators import formats
+from larkspur.operators.aggregates import share_within
 from larkspur.plans.base import registrar
 from larkspur.sources.tables import load
 from larkspur.streaming import windows
@@ -45,7 +48,39 @@ def stream_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(path)
 
 
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.event_time(load(spark, sf, "events").drop("props"), "ts").withColumn("hour", F.hour("ts").cast("double"))
+
+
+_SCALES = {"value": 100.0, "hour": 24.0}
+
+
+@query()
+def kmeans_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.kmeans_snapshots(_points(spark, sf), 5, _SCALES, ["ts", "event_id"], "event_type")
+
+
+@query()
+def cluster_characterisation(spark: SparkSession, sf: str) -> DataFrame:
+    """The last centres of each type, with a label."""
+    found = kmeans_snapshots(spark, sf)
+    last = found.groupBy("event_type", "cluster_id").agg(F.max_by(F.struct("count", "value", "hour"), "event_count").alias("c")).select("event_type", "cluster_id", "c.*")
+    return last.withColumn("label", labels.trip_label(F.col("hour"), F.col("value"), F.col("count") / F.sum("count").over(Window.partitionBy("event_type"))))
+
+
+@query()
+def cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by type, in percent of the type's events."""
+    counted = online_kmeans(spark, sf).groupBy("event_type", "cluster_id").agg(F.count("*").alias("n"))
+    return counted.withColumn("percent", share_within("n", "event_type"))
+
+
+@query()
+def format_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and read times of the events in several formats."""
+    return formats.format_benchmark(load(spark, sf, "events"), _folder(spark, "formats"), runs=3)
+
+
 @query()
 def online_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows.event_time(load(spark, sf, "events").drop("props"), "ts").withColumn("hour", F.hour("ts").cast("double"))
-    return windows.online_kmeans(rows, 5, {"value": 100.0, "hour": 24.0}, ["ts", "event_id"], ["event_id", "value"], "event_type")
+    return windows.online_kmeans(_points(spark, sf), 5, _SCALES, ["ts", "event_id"], ["event_id", "value"], "event_type")

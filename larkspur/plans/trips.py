@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import dates, numbers
+from larkspur.functions import dates, labels, numbers
 from larkspur.functions.numbers import rounded
 from larkspur.operators import aggregates as agg
 from larkspur.operators import quality
@@ -185,3 +185,35 @@ def anti_missing_files(spark: SparkSession, sf: str) -> DataFrame:
 def minute_date_diff(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select("o_orderkey", dates.minute_boundaries(F.col("o_orderdate"), F.col("l_shipdate")).alias("minutes"))
+
+
+@query(trips_sql() + """, a AS (SELECT service, avg(fare) AS fare, avg(distance) AS distance FROM trips WHERE year(pickup) = 1996 GROUP BY 1), b AS (SELECT service, avg(fare) AS fare, avg(distance) AS distance FROM trips WHERE year(pickup) = 1997 GROUP BY 1)
+    SELECT a.service, round(1e-9 + a.fare, 4) AS fare_base, round(1e-9 + b.fare, 4) AS fare_new, round(1e-9 + (a.fare - b.fare) / a.fare * 100, 4) AS fare_gain,
+    round(1e-9 + a.distance, 4) AS distance_base, round(1e-9 + b.distance, 4) AS distance_new, round(1e-9 + (a.distance - b.distance) / a.distance * 100, 4) AS distance_gain FROM a JOIN b ON a.service = b.service""")
+def metric_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two years' means side by side, with the change in percent."""
+    both = dates.year_between(trips(spark, sf), "pickup", 1996, 1997).groupBy("service", F.year("pickup").alias("year")).agg(F.avg("fare").alias("fare"), F.avg("distance").alias("distance"))
+    found = agg.paired(both.where("year = 1996"), both.where("year = 1997"), "service", ["fare", "distance"])
+    return found.withColumns({c: rounded(F.col(c), 4) for c in found.columns if c != "service"})
+
+
+@query(trips_sql() + """, t AS (SELECT trip_id, distance / 4 AS miles, fare / 1000 AS fare, tip * 10 AS share FROM trips)
+    SELECT trip_id, count(*) AS n, CASE WHEN share < 0.5 THEN 'Yellow Taxi' WHEN share > 0.85 THEN 'FHVHV (Uber/Lyft)' ELSE 'Mixed' END AS vehicle,
+    CASE WHEN miles < 2 THEN 'short local' WHEN miles < 6 THEN 'medium' WHEN miles < 12 THEN 'long' ELSE 'airport/outer-borough' END AS trip_type FROM t GROUP BY ALL""")
+def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = trips(spark, sf).select("trip_id", labels.vehicle(F.col("tip") * 10).alias("vehicle"), labels.trip_type(F.col("distance") / 4).alias("trip_type"))
+    return rows.groupBy("trip_id", "vehicle", "trip_type").agg(F.count("*").alias("n"))
+
+
+@query(trips_sql(PU, DO) + " SELECT pu_zone, do_zone, count(*) AS trips, round(1e-9 + count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY pu_zone), 4) AS percent FROM trips GROUP BY 1, 2")
+def zone_pair_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows between zones, in percent of the trips that start in a zone."""
+    rows = trips(spark, sf, PU, DO).groupBy("pu_zone", "do_zone").agg(F.count("*").alias("trips"))
+    return rows.withColumn("percent", rounded(agg.share_within("trips", "pu_zone"), 4))
+
+
+@query(trips_sql() + " SELECT service, date_trunc('month', pickup)::DATE AS date, count(*) AS trips, count(*) FILTER (month(pickup) BETWEEN 3 AND 6) AS spring FROM trips WHERE year(pickup) BETWEEN 1997 AND 1999 GROUP BY 1, 2")
+def period_months(spark: SparkSession, sf: str) -> DataFrame:
+    """Months of a period by service, a part of each year set apart."""
+    rows = dates.year_between(trips(spark, sf), "pickup", 1997, 1999)
+    return rows.groupBy("service", F.trunc(F.col("pickup").cast("date"), "month").alias("date")).agg(F.count("*").alias("trips"), F.count_if(F.month("pickup").between(3, 6)).alias("spring"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,19 @@ def as_json(df: DataFrame, keep_nulls: bool = True) -> Column:
 def messages(df: DataFrame, key: str) -> DataFrame:
     """key and value columns as a topic wants them; the key is a whole number's text."""
     return df.select(F.col(key).cast("long").cast("string").alias("key"), as_json(df).alias("value"))
+
+
+def to_topic(stream: DataFrame, servers: str, topic: str, key: str, checkpoint: str):
+    """Appends a stream's rows to a topic as keyed JSON. Needs Spark's Kafka package."""
+    return messages(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def to_console(stream: DataFrame, checkpoint: str, rows: int = 20):
+    return stream.writeStream.format("console").option("numRows", rows).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def reset(spark: SparkSession, *paths: str) -> None:
+    """Removes outputs and checkpoints, so that a stream starts from its beginning."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

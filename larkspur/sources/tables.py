@@ -48,3 +48,15 @@ def kafka_json(spark: SparkSession, servers: str, topic: str, schema: str, event
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offsets).load()
     rows = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v"), "timestamp")
     return rows.select("v.*", F.coalesce(F.try_to_timestamp(F.col(f"v.{event_time}")), F.col("timestamp")).alias("ts"))
+
+
+def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, row_groups, rows of Parquet files, from their footers alone."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+        try:
+            out.append((path, reader.getRowGroups().size(), reader.getRecordCount()))
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, row_groups int, rows long")

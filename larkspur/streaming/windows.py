@@ -83,31 +83,80 @@ class OnlineKMeans:
         return best, distances[best]
 
 
+def _points(rows: DataFrame, features: dict[str, float], order: Sequence[str], keep: Sequence[str], group: str) -> DataFrame:
+    """Groups side by side, each in order, with the scaled features as feature_0 and so on."""
+    scaled = [(clean(F.col(c)) / s).alias(f"feature_{i}") for i, (c, s) in enumerate(features.items())]
+    ready = rows.select(group, *keep, *[c for c in order if c not in keep and c != group], *scaled)
+    return ready.repartition(group).sortWithinPartitions(group, *order)
+
+
+class _Groups:
+    """The model of the group at hand, as rows come group by group."""
+
+    def __init__(self, k: int, n: int, group: str):
+        self.k, self.n, self.group, self.now, self.model = k, n, group, None, OnlineKMeans(k)
+
+    def begins(self, row: Any) -> bool:
+        """Whether row is the first of its group; the model is a new one then."""
+        name = getattr(row, self.group)
+        if name == self.now:
+            return False
+        self.now, self.model = name, OnlineKMeans(self.k)
+        return True
+
+    def add(self, row: Any) -> tuple[int, float]:
+        return self.model.add([getattr(row, f"feature_{i}") for i in range(self.n)])
+
+
 def online_kmeans(rows: DataFrame, k: int, features: dict[str, float], order: Sequence[str], keep: Sequence[str], group: str) -> DataFrame:
     """keep, cluster_id and cluster_distance of each row, by group: each group has centres of its own.
 
     features maps columns to the numbers they are divided by. Points of a group are taken one by one in the given order,
     in bounded batches from a sorted shuffle; the algorithm is sequential, so groups are what runs side by side.
     """
-    source = rows.schema
-    fields = ", ".join(f"{c} {source[c].dataType.simpleString()}" for c in [group, *keep])
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [group, *keep])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, now = OnlineKMeans(k), None
+        groups = _Groups(k, len(features), group)
         for batch in batches:
             found = []
             for row in batch.itertuples(index=False):
-                if getattr(row, group) != now:
-                    model, now = OnlineKMeans(k), getattr(row, group)
-                found.append(model.add([getattr(row, f"feature_{i}") for i in range(len(features))]))
+                groups.begins(row)
+                found.append(groups.add(row))
             out = batch[[group, *keep]].copy()
             out["cluster_id"] = pd.array([f[0] for f in found], dtype="int64")
             out["cluster_distance"] = pd.array([f[1] for f in found], dtype="float64")
             yield out
 
-    ready = rows.select(group, *keep, *[c for c in order if c not in keep and c != group], *[(clean(F.col(c)) / s).alias(f"feature_{i}") for i, (c, s) in enumerate(features.items())])
-    ready = ready.repartition(group).sortWithinPartitions(group, *order)
-    return ready.mapInPandas(run, f"{fields}, cluster_id long, cluster_distance double")
+    return _points(rows, features, order, keep, group).mapInPandas(run, f"{fields}, cluster_id long, cluster_distance double")
+
+
+def kmeans_snapshots(rows: DataFrame, k: int, features: dict[str, float], order: Sequence[str], group: str, every: int = 1000) -> DataFrame:
+    """group, event_count, cluster_id, count and the features' centres (unscaled, four places), after each `every` events and the last."""
+    names = list(features)
+    schema = f"{group} {rows.schema[group].dataType.simpleString()}, event_count long, cluster_id long, count long, " + ", ".join(f"{c} double" for c in names)
+
+    def shown(name: object, model: OnlineKMeans) -> list[tuple]:
+        return [(name, sum(model.counts), i, model.counts[i], *[round(x * s, 4) for x, s in zip(c, features.values())]) for i, c in enumerate(model.centres)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, groups = [group, "event_count", "cluster_id", "count", *names], _Groups(k, len(names), group)
+        unseen = lambda: sum(groups.model.counts) % every != 0  # noqa: E731  events since the last snapshot
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                name, model, more = groups.now, groups.model, unseen()
+                if groups.begins(row) and more:
+                    out += shown(name, model)
+                groups.add(row)
+                if not unseen():
+                    out += shown(groups.now, groups.model)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if unseen():
+            yield pd.DataFrame(shown(groups.now, groups.model), columns=columns)
+
+    return _points(rows, features, order, [], group).mapInPandas(run, schema)
 
 
 def stream_kmeans(rows: DataFrame, k: int, features: dict[str, float], group: str, key: str) -> DataFrame:

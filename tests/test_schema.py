@@ -102,3 +102,11 @@ def test_missing_names(spark):
 
     wanted = months(spark, "2019-11-01", "2020-02-01")
     assert [r.month for r in schema.missing_names(wanted, wanted.where("month <> '2020-01-01'"), "month").collect()] == [dt.date(2020, 1, 1)]
+
+
+def test_row_groups_and_reset(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
+    files = [r.file for r in tables.file_stats(spark.read.parquet(str(tmp_path / "p"))).collect()]
+    assert tables.row_groups(spark, files).first()["rows"] == 100
+    sinks.reset(spark, str(tmp_path / "p"))
+    assert not (tmp_path / "p").exists()

@@ -88,3 +88,16 @@ def test_kmeans_of_batch_and_stream_agree(spark, tmp_path):
     windows.to_files(stream, str(tmp_path / "out"), str(tmp_path / "c"), "parquet").awaitTermination()
     found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).where(F.col("centres").isNotNull())
     assert sorted((r.kind, r.id, r.cluster_id, r.cluster_distance) for r in found.collect()) == want
+
+
+def test_snapshots(spark):
+    rows = spark.createDataFrame([_at(i, k, p, i) for i, p in enumerate(POINTS) for k in "ab"], SCHEMA)
+    found = sorted(map(tuple, windows.kmeans_snapshots(rows, 2, {"value": 10.0}, ["ts"], "kind", every=4).collect()))
+    one = [(4, 0, 3, 2.0), (4, 1, 1, 10.0), (6, 0, 4, 2.5), (6, 1, 2, 9.5)]
+    assert found == [(k, *r) for k in "ab" for r in one]
+
+
+def test_label(spark):
+    from larkspur.functions.labels import trip_label
+
+    assert spark.range(1).select(trip_label(F.lit(1.5), F.lit(9.6), F.lit(0.9))).first()[0] == "FHVHV (Uber/Lyft), short local trip (~1.5 mi, ~$10 fare)"
