@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -85,6 +87,11 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _LIBC = None
+
 _packer = zstandard.ZstdCompressor(level=1)
 _unpacker = zstandard.ZstdDecompressor()
 
@@ -122,6 +129,15 @@ def in_slices(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> It
         yield packed_batch(held)
 
 
+def trimmed(out: Iterator) -> Iterator:
+    """out; at its end the worker, which stays for later tasks, gives what it no longer uses back to the system."""
+    yield from out
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def split_by(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """Each bucket that occurs, with its part of each array, order kept."""
     if not len(bucket):

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, documents
+from larkspur.llm.common import cut, documents, trimmed
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,7 +56,7 @@ def _cut_documents(path: str, end_id: int, room: int):
     """Documents to pieces of at most room tokens. _rank numbers the pieces of one length within a task (_task)."""
     end = np.array([end_id], "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
@@ -74,6 +74,9 @@ def _cut_documents(path: str, end_id: int, room: int):
             cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_rank"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(pieces(batches))
+
     return run
 
 

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents, few_at_once
+from larkspur.llm.common import documents, few_at_once, trimmed
 
 #: Words and shapes hash to SLOTS rows each; vectors have WIDTH numbers; the matrix travels in BLOCKS.
 SLOTS, WIDTH, BLOCKS, SPAN = 1 << 14, 32, 16, 2
 #: The network learns from so many labelled rows at most, those of least hash.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
-CACHED = 500_000
+CACHED = 150_000
+#: Texts whose words are held at once.
+TEXTS = 100
 _KIND = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i > 127 else 48 if 48 <= i <= 57 else i for i in range(256))
 _SAME = re.compile(rb"(.)\1+", re.S)
 _slots: dict[bytes, int] = {}
@@ -77,11 +79,15 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
 
         total, (place, sign) = np.zeros(2 * SLOTS * WIDTH), _index_vectors()
         for batch in batches:
-            _add_contexts(total, [b or b"" for b in batch["body"].to_pylist()], place, sign)
+            for at in range(0, batch.num_rows, 4 * TEXTS):
+                _add_contexts(total, [b or b"" for b in batch["body"].slice(at, 4 * TEXTS).to_pylist()], place, sign)
         blobs = [total[i * each : (i + 1) * each].astype("<f4").tobytes() for i in range(BLOCKS)]
         few = TaskContext.get().partitionId() // 64
         yield pa.RecordBatch.from_arrays([pa.array([few] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["few", "block", "sums"])
 
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(sums(batches))
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, few, block = np.zeros(each), 0, 0
         for batch in batches:
@@ -91,7 +97,7 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([few], pa.int32()), pa.array([block], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["few", "block", "sums"])
 
     kind = "few int, block int, sums binary"
-    found = plain.mapInArrow(sums, kind).groupBy("few", "block").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()  # BLOCKS rows
+    found = plain.mapInArrow(lean, kind).groupBy("few", "block").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()  # BLOCKS rows
     whole = np.zeros((BLOCKS, each))
     for row in found:
         whole[row["block"]] = np.frombuffer(row["sums"], "<f4")
@@ -204,10 +210,13 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", score_c
     """docs with its score as one more column, which replaces one of that name. Nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def rows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
             bodies = [b or b"" for b in some]
-            yield pd.Series(np.concatenate([sent.value.scores(bodies[i : i + 500]) for i in range(0, len(bodies), 500)]) if bodies else [], dtype=float)
+            yield pd.Series(np.concatenate([sent.value.scores(bodies[i : i + TEXTS]) for i in range(0, len(bodies), TEXTS)]) if bodies else [], dtype=float)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return trimmed(rows(texts))
 
     few_at_once(docs.sparkSession)
     return docs.withColumn(score_col, F.pandas_udf(run, "double")(F.col(text_col).cast("string").cast("binary")))

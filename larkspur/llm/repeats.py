@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-from larkspur.llm.common import NO_ID, PACKED, PACKED_ARROW, documents, in_slices, mix, pack, packed_batch, split_by, unpack, unpack_all
+from larkspur.llm.common import NO_ID, PACKED, PACKED_ARROW, documents, in_slices, mix, pack, packed_batch, split_by, trimmed, unpack, unpack_all
 from larkspur.llm.windows import range_hashes, window_hashes, window_minima
 
 ENTRIES, MARKS, MIXED, RUN, BODIES = range(5)
@@ -39,9 +39,9 @@ FIELDS = ["key", "check", "doc", "tie", "start", "count", "hot"]
 SPANS = ["doc", "tie", "start", "count"]
 KINDS = {"key": np.uint64, "check": np.uint64, "doc": np.int64, "tie": np.uint32, "start": np.uint32, "count": np.uint32, "hot": np.bool_}
 #: A task settles so many entries at a time; a fingerprint with so many different blocks among them is hot.
-AT_ONCE, HOT = 1 << 19, 64
+AT_ONCE, HOT = 1 << 17, 64
 #: Bytes of text that a task deals to buckets at a time.
-TEXT_AT_ONCE = 24 << 20
+TEXT_AT_ONCE = 12 << 20
 
 #: Bytes of an entry in a packed row.
 ENTRY_SIZE = sum(np.dtype(KINDS[n]).itemsize for n in FIELDS)
@@ -170,7 +170,7 @@ def block_entries(docs: DataFrame, tokenise: Tokenise, window: int, gram: int, b
         yield from _sent(parts, buckets, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_slices(rows(batches))
+        return trimmed(in_slices(rows(batches)))
 
     return docs.mapInArrow(run, PACKED)
 
@@ -220,7 +220,7 @@ def to_documents(spans: DataFrame, buckets: int) -> DataFrame:
                         yield b, kind, pack(**part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_slices(rows(batches))
+        return trimmed(in_slices(rows(batches)))
 
     return spans.mapInArrow(run, PACKED)
 
@@ -248,7 +248,7 @@ def bodies(docs: DataFrame, buckets: int, keep: tuple[str, ...] = ()) -> DataFra
             yield from dealt(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_slices(rows(batches))
+        return trimmed(in_slices(rows(batches)))
 
     return docs.mapInArrow(run, PACKED)
 

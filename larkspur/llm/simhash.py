@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larkspur.llm.common import NO_ID, PACKED, buckets, cut, documents, in_slices, join_groups, mix, pack, split_by, unpack
+from larkspur.llm.common import NO_ID, PACKED, buckets, cut, documents, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
 from larkspur.llm.components import components
 
 #: Words in a shingle, seed of XXH64.
@@ -20,7 +20,7 @@ BYTES = 8
 #: Groups of at most so many fingerprints are compared pair by pair; from SPLIT on they are split first.
 SMALL, SPLIT = 16, 2048
 #: Fingerprints that a task deals to the index at a time.
-AT_ONCE = 20_000
+AT_ONCE = 8_000
 
 
 def fingerprint(body: bytes) -> int:
@@ -43,11 +43,14 @@ def fingerprint(body: bytes) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed number)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(b or b"") for b in batch["body"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(rows(batches))
+
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -136,7 +139,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
             if held:
                 yield from dealt(np.concatenate(held))
 
-        return in_slices(rows())
+        return trimmed(in_slices(rows()))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(b) for batch in batches for b in batch["blob"].to_pylist()]
