@@ -20,54 +20,52 @@ SLOTS, WIDTH, BLOCKS, SPAN = 1 << 14, 32, 16, 2
 #: The network learns from so many labelled rows at most, those of least hash.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
-CACHED = 150_000
+#: Shapes whose slots are kept.
+SHAPES = 50_000
 #: Texts whose words are held at once.
 TEXTS = 100
 _KIND = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i > 127 else 48 if 48 <= i <= 57 else i for i in range(256))
 _SAME = re.compile(rb"(.)\1+", re.S)
-_slots: dict[bytes, int] = {}
+_shapes: dict[bytes, int] = {}
 
 
-def _slot(word: bytes) -> int:
-    """Slot of the lower-cased word, and SLOTS times the slot of its shape: letters A and a, digits 0, runs shortened."""
-    found = crc32(word.lower()) % SLOTS + SLOTS * (crc32(_SAME.sub(rb"\1\1", word.translate(_KIND))) % SLOTS)
-    if len(_slots) >= CACHED:
-        _slots.clear()
-    if len(word) < 64:
-        _slots[word] = found
+def _shape(kinds: bytes) -> int:
+    """Slot of a shape: letters A and a, digits 0, others as they are, runs shortened to two."""
+    if len(_shapes) >= SHAPES:
+        _shapes.clear()
+    found = _shapes[kinds] = crc32(_SAME.sub(rb"\1\1", kinds)) % SLOTS
     return found
 
 
-def _tokens(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all words of the texts in a row, and the number of words of each text."""
-    known = _slots.get
-    split = [b.split() for b in bodies]
-    found = [s if (s := known(w)) is not None else _slot(w) for w in itertools.chain.from_iterable(split)]
-    return np.array(found, np.int64), np.array([len(x) for x in split], np.int64)
+def _tokens(bodies: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slots of all words (lower-cased) of the texts in a row, slots of their shapes, and the number of words of each text."""
+    split = [b.lower().split() for b in bodies]
+    sizes = np.array([len(x) for x in split], np.int64)
+    words = np.fromiter(map(crc32, itertools.chain.from_iterable(split)), np.int64, sizes.sum()) % SLOTS
+    kinds = itertools.chain.from_iterable(b.translate(_KIND).split() for b in bodies)
+    shapes = np.fromiter((s if (s := _shapes.get(k)) is not None else _shape(k) for k in kinds), np.int64, sizes.sum())
+    return [words, shapes], sizes
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """The random index vector of each slot: two places that hold 1 or -1."""
+def _index_vectors() -> list[tuple[np.ndarray, np.ndarray]]:
+    """The random index vectors of the slots of words, and of shapes: two places each that hold 1 or -1."""
     draw = np.random.default_rng(20240229)
-    return draw.integers(0, WIDTH, (2 * SLOTS, 2)), draw.choice([-1.0, 1.0], (2 * SLOTS, 2))
+    return [(draw.integers(0, WIDTH, (2, SLOTS)), draw.choice([-1.0, 1.0], (2, SLOTS))) for _ in range(2)]
 
 
-def _streams(found: np.ndarray) -> list[np.ndarray]:
-    """Slots of the words, and of their shapes (behind those of the words)."""
-    return [found % SLOTS, SLOTS + found // SLOTS]
-
-
-def _add_contexts(total: np.ndarray, bodies: list[bytes], place: np.ndarray, sign: np.ndarray) -> None:
+def _add_contexts(totals: np.ndarray, bodies: list[bytes], index_vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Adds to each slot's vector the index vectors of its neighbours, SPAN words to either side."""
-    found, sizes = _tokens(bodies)
+    streams, sizes = _tokens(bodies)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    for stream in _streams(found):
-        for step in range(1, SPAN + 1):
-            same = np.flatnonzero(text[step:] == text[:-step])
-            left, right = stream[same], stream[same + step]
-            for a, b in ((left, right), (right, left)):
-                for k in range(2):
-                    total += np.bincount(a * WIDTH + place[b, k], sign[b, k], total.size)
+    together = [text[step:] == text[:-step] for step in range(1, SPAN + 1)]
+    for total, stream, (place, sign) in zip(totals, streams, index_vectors):
+        row, at, weight = stream * WIDTH, [], []
+        for p, s in zip(place, sign):
+            p, s = p[stream], s[stream]
+            for step, same in enumerate(together, 1):
+                at += [(row[:-step] + p[step:])[same], (row[step:] + p[:-step])[same]]
+                weight += [s[step:][same], s[:-step][same]]
+        total += np.bincount(np.concatenate(at), np.concatenate(weight), total.size)
 
 
 def word_vectors(plain: DataFrame) -> np.ndarray:
@@ -77,10 +75,11 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, (place, sign) = np.zeros(2 * SLOTS * WIDTH), _index_vectors()
+        totals, index_vectors = np.zeros((2, SLOTS * WIDTH)), _index_vectors()
         for batch in batches:
             for at in range(0, batch.num_rows, 4 * TEXTS):
-                _add_contexts(total, [b or b"" for b in batch["body"].slice(at, 4 * TEXTS).to_pylist()], place, sign)
+                _add_contexts(totals, [b or b"" for b in batch["body"].slice(at, 4 * TEXTS).to_pylist()], index_vectors)
+        total = totals.reshape(-1)
         blobs = [total[i * each : (i + 1) * each].astype("<f4").tobytes() for i in range(BLOCKS)]
         few = TaskContext.get().partitionId() // 64
         yield pa.RecordBatch.from_arrays([pa.array([few] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["few", "block", "sums"])
@@ -108,15 +107,15 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
 
 def pooled(bodies: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row of numbers for each text: mean vectors of words and shapes, the share of words like the one before, log size."""
-    found, sizes = _tokens(bodies)
+    streams, sizes = _tokens(bodies)
     text = np.repeat(np.arange(len(sizes)), sizes)
     out = np.zeros((len(sizes), 2 * WIDTH + 2), np.float32)
     full = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[full]
-    if len(found):
-        for k, stream in enumerate(_streams(found)):
-            out[full, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(vectors[stream], starts, axis=0) / sizes[full, None]
-        again = np.concatenate([[False], (found[1:] == found[:-1]) & (text[1:] == text[:-1])])
+    if len(full):
+        for k, stream in enumerate(streams):
+            out[full, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(vectors[stream + k * SLOTS], starts, axis=0) / sizes[full, None]
+        again = np.concatenate([[False], (streams[0][1:] == streams[0][:-1]) & (text[1:] == text[:-1])])
         out[full, -2] = np.add.reduceat(again.astype(np.float32), starts) / sizes[full]
     out[:, -1] = np.log1p(sizes)
     return out
