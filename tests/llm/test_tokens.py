@@ -52,10 +52,17 @@ def test_pieces_as_the_library_has_them(spark, codec, library, odd):
 
 def test_backtracking_against_merging(codec):
     draw = random.Random(8)
-    for _ in range(3000):
-        part = "".join(draw.choice("etaoinshr▁"[: draw.randrange(3, 10)]) for _ in range(draw.randrange(1, 16)))
-        if "▁▁" not in part:
-            assert [codec.pieces[i] for i in codec.encode_part(part)] == codec.merged(part)
+    parts = ["".join(draw.choice("etaoinshr▁"[: draw.randrange(3, 11)]) for _ in range(draw.randrange(1, 16))) for _ in range(3000)]
+    parts = [p for p in parts if "▁▁" not in p]
+    for part in parts:
+        assert [codec.pieces[i] for i in codec.encode_part(part)] == codec.merged(part)
+
+
+def test_long_runs(codec, library):
+    draw = random.Random(3)
+    for text in [" " * 20_000 + "word", "x" * 20_000, "ab" * 10_000, "".join(draw.choice("etao ") for _ in range(20_000)), "".join(draw.choice("etaoin") for _ in range(20_000)), "é漢" * 5000]:
+        assert codec.encode(text) == library.encode(text)
+        assert codec.merged("▁" + text.replace(" ", "▁")[:3000]) == codec._merged_long("▁" + text.replace(" ", "▁")[:3000])
 
 
 def test_piece_tables(spark, docs, odd, library):
