@@ -20,6 +20,8 @@ SLOTS, WIDTH, BLOCKS, SPAN = 1 << 14, 32, 16, 2
 #: The network learns from so many labelled rows at most, those of least hash.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
+#: How much the parts of a pooled vector weigh, each as a whole: words, shapes, repeats, size.
+WEIGHTS = np.concatenate([np.full(WIDTH, 0.5 * WIDTH**-0.5), np.full(WIDTH, 2.0 * WIDTH**-0.5), [2.0, 0.5]])
 #: Shapes whose slots are kept.
 SHAPES = 50_000
 #: Texts whose words are held at once.
@@ -124,8 +126,8 @@ def pooled(bodies: list[bytes], vectors: np.ndarray) -> np.ndarray:
 class Network:
     """Two layers with numpy, Adam, and a temperature fitted on rows left out of the training."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
+    def __init__(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | float = 1.0):
+        self.mean, self.std = x.mean(axis=0), (x.std(axis=0) + 1e-3) / weights
         x, draw = (x - self.mean) / self.std, np.random.default_rng(7)
         spare = np.arange(len(y)) % 5 == 4
         n = x.shape[1]
@@ -201,7 +203,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learnt = plain.join(F.broadcast(known), "doc_id").mapInArrow(pool, "doc_id long, _label double, pooled binary").toPandas()  # sample rows of 264 bytes
     learnt = learnt.sort_values(["doc_id", "pooled"]).drop_duplicates("doc_id")
     y = learnt["_label"].to_numpy(float)
-    network = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y) if len(set(y)) > 1 else None
+    network = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y, WEIGHTS) if len(set(y)) > 1 else None
     return QualityModel(vectors, network, float(y.mean()) if len(y) else 0.5)
 
 
