@@ -117,7 +117,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     Such a pair agrees in at least 8 - most positional bytes. The index lists each fingerprint under each set of
     so many positions with their bytes; a list's pairs have passed the count, are counted again and verified. Lists
     of up to SMALL give their pairs, longer ones a spanning forest, so no list gives more than it has members times
-    SMALL.
+    SMALL. A list holds distinct fingerprints, 9 bytes each, however many documents have them.
     """
     n, masks = buckets(distinct.sparkSession), position_sets(most)
 
