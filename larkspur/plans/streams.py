@@ -83,4 +83,5 @@ def format_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def online_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.online_kmeans(_points(spark, sf), 5, _SCALES, ["ts", "event_id"], ["event_id", "value"], "event_type")
+    found = windows.online_kmeans(_points(spark, sf), 5, _SCALES, ["ts", "event_id"], ["event_id", "value"], "event_type")
+    return found.withColumn("cluster_distance", F.round("cluster_distance", 6))
