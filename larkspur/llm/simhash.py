@@ -191,6 +191,9 @@ def near_dedup(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col:
     Rows equal in doc_id and text are one document, and one of them stays. Rows that share only doc_id stay or go together.
     """
     found = simhash_components(docs, most, id_col, text_col)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_first")).distinct()
-    rows = docs.withColumn("_first", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    return rows.join(firsts, "_first", "left_semi").dropDuplicates(["_first", text_col]).drop("_first")
+    own = "_first"
+    while own in docs.columns:
+        own = f"_{own}"
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(own)).distinct()
+    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    return rows.join(firsts, own, "left_semi").dropDuplicates([own, text_col]).drop(own)
