@@ -182,7 +182,7 @@ def linear_forecast(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
-    model = demand.fit_boosted(train, demand.FEATURES, rounds=5)
+    model = demand.fit_boosted(train, demand.FEATURES)
     return demand.evaluate(model.transform(demand.filled(test, demand.FEATURES)))
 
 

@@ -142,3 +142,22 @@ def test_models_learn(spark):
     sgd = demand.fit_sgd(rows, ["a", "b"], epochs=30)
     assert sgd["losses"][-1] < 0.1 * sgd["losses"][0]
     assert demand.evaluate(demand.predict_sgd(rows, sgd, ["a", "b"])).first().r2 > 0.8
+
+
+def test_registered_forecast_has_all_rounds(monkeypatch):
+    import inspect
+
+    from larkspur.plans import enrichment
+
+    class Stop(Exception):
+        pass
+
+    def seen(*given, fit=inspect.signature(demand.fit_boosted), **named):
+        bound = fit.bind(*given, **named)
+        bound.apply_defaults()
+        raise Stop(bound.arguments["rounds"])
+
+    monkeypatch.setattr(enrichment, "_halves", lambda spark, sf: (None, None))
+    monkeypatch.setattr(demand, "fit_boosted", seen)
+    with pytest.raises(Stop, match="^200$"):
+        enrichment.gbt_forecast(None, "")
