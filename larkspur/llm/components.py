@@ -1,4 +1,4 @@
-"""Connected components by smallest label, without gathering links in one place."""
+"""Connected components by smallest node, without gathering links in one place."""
 
 from __future__ import annotations
 
@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut, join_groups
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component of each node that has a link: the smallest name in its component.
+def components(links: DataFrame) -> DataFrame:
+    """node, component of each node that has a link: the smallest node in reach. One row a node.
 
-    links: a, b (each link once, in either direction). nodes: node, name (unique, ordered). In each round a node takes
-    the least label of its neighbours, then the label of the node so named (pointer jumping), until nothing changes:
-    the rounds follow the logarithm of a component's diameter. Hubs and labels of large components are hot keys; both
-    joins are join_groups().
+    links: a, b (each link once, in either direction). Nodes are their own labels, so a label names one node. In each
+    round a node takes the least label of its neighbours, then the label of the node so named (pointer jumping), until
+    nothing changes: the rounds follow the logarithm of a component's diameter. Hubs and labels of large components
+    are hot keys; both joins are join_groups(). Nulls aren't nodes; no links give no rows.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     total = both.count()
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-    labels = cut(degree.join(nodes, "node").withColumn("label", F.col("name")))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")).withColumn("label", F.col("node")))
     while total:
         heard = join_groups(both, labels.select(F.col("node").alias("a"), "label", "degree"), "a", "degree", total)
         heard = heard.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_heard"))
         told = cut(labels.join(heard, "node").withColumn("_new", F.least("label", "_heard")))
         named = told.groupBy("_new").agg(F.count("*").alias("_size"))
-        jumps = named.join(told.select(F.col("name").alias("_new"), F.col("_new").alias("_next")), "_new")
+        jumps = named.join(told.select(F.col("node").alias("_new"), F.col("_new").alias("_next")), "_new")
         jumped = join_groups(told, jumps, "_new", "_size", total)
-        after = cut(jumped.select("node", "name", "degree", F.col("_next").alias("label"), (F.col("_next") < F.col("label")).alias("_changed")))
+        after = cut(jumped.select("node", "degree", F.col("_next").alias("label"), (F.col("_next") < F.col("label")).alias("_changed")))
         labels = after.drop("_changed")
         if after.where("_changed").isEmpty():
             break

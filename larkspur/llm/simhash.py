@@ -72,38 +72,58 @@ def linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _span(fps: np.ndarray, group: np.ndarray, most: int) -> None:
-    """Merges the groups of linked fingerprints; a pair already in one group isn't compared."""
+def _span(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links (as places) that connect what links connect; a pair already in one group isn't compared."""
+    group, out = np.arange(len(fps)), []
     for i in range(len(fps)):
         others = np.flatnonzero(group != group[i])
         if not len(others):
-            return
+            break
         near = others[linked(fps[others], fps[i], most)]
         if len(near):
+            out += [(i, int(j)) for j in near[np.unique(group[near], return_index=True)[1]]]
             group[np.isin(group, group[near])] = group[i]
+    return out
 
 
-def spanning_links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what links among distinct fingerprints connect: from each to the least of its group.
+def _parts(fps: np.ndarray, n: int) -> list[np.uint64]:
+    """Masks that deal the bits in which fps differ to n parts."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [b for b in range(64) if varying >> b & 1]
+    return [np.uint64(sum(1 << b for b in bits[k::n])) for k in range(n)]
 
-    Large groups are first split by each of most + 1 parts of the bits, one of which any linked pair shares.
-    """
-    group = np.arange(len(fps))
+
+def _groups(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
+    """A number for each of n places, equal where edges connect."""
+    above = list(range(n))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in edges:
+        above[top(a)] = top(b)
+    return np.array([top(x) for x in range(n)], np.int64)
+
+
+def _spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As _span; a large group is split by each of most + 1 parts of its varying bits, one of which any linked pair shares."""
     if len(fps) <= SPLIT:
-        _span(fps, group, most)
-    else:
-        edges = np.linspace(0, 64, most + 2).astype(int)
-        order = np.argsort(mix(fps), kind="stable")  # the parts' bits are dealt evenly
-        fps, inverse = fps[order], np.argsort(order)
-        for low, high in zip(edges, edges[1:]):
-            part = (fps >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
-            at = np.argsort(part, kind="stable")
-            for some in np.split(at, np.flatnonzero(np.diff(part[at])) + 1):
-                own = group[some].copy()
-                _span(fps[some], own, most)
-                for old, new in {(o, n) for o, n in zip(group[some].tolist(), own.tolist()) if o != n}:
-                    group[group == old] = new
-        fps, group = fps[inverse], group[inverse]
+        return _span(fps, most)
+    edges = []
+    for mask in _parts(fps, most + 1):
+        at = np.argsort(fps & mask, kind="stable")
+        for some in np.split(at, np.flatnonzero(np.diff(fps[at] & mask)) + 1):
+            if len(some) > 1:
+                edges += [(int(some[a]), int(some[b])) for a, b in _spanning(fps[some], most)]
+    last: dict[int, int] = {}
+    return [(last.setdefault(g, i), i) for i, g in enumerate(_groups(len(fps), edges).tolist()) if last.setdefault(g, i) != i]
+
+
+def spanning_links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links among distinct fingerprints connect: from each to the least of its group."""
+    group = _groups(len(fps), _spanning(fps, most))
     order = np.lexsort((fps, group))
     head = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
     least = fps[order][head][np.searchsorted(head, np.arange(len(order)), "right") - 1]
@@ -171,16 +191,19 @@ def simhash_components(docs: DataFrame, most: int = 4, id_col: str = "doc_id", t
 
     Documents link when their fingerprints differ in at most `most` bits; component_id is the smallest doc_id in
     reach. Null and empty texts have fingerprint zero and link like any other. Null doc_ids are behind all others, so a
-    component has a null id only if all its rows do. Repeated rows are in one component. An empty table gives no rows.
+    component has a null id only if all its rows do. Repeated rows are in one component; a doc_id with several texts
+    has a row for each, in the component of each. An empty table gives no rows; further columns stay behind.
 
-    The index and the links are of distinct fingerprints, each of which stands for all its documents, however many.
+    The index, the links and the components are of distinct fingerprints, each of which stands for all its documents,
+    however many; a component's smallest doc_id is found when all fingerprints have their component.
     """
     found = cut(fingerprints(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
     groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))
-    between = cut(links(groups, most))
-    joined = components(between, groups.select(F.col("fp").alias("node"), F.col("first").alias("name")))
-    groups = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", F.coalesce("component", "first").alias("component_id"))
-    out = join_groups(found, cut(groups), "fp", "size", found.count())
+    joined = components(cut(links(groups, most))).withColumnRenamed("node", "fp")
+    groups = cut(groups.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    firsts = groups.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_members"))
+    groups = join_groups(groups.select("fp", "size", "component"), firsts, "component", "_members", groups.count())
+    out = join_groups(found, cut(groups.select("fp", "size", "component_id")), "fp", "size", found.count())
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(real("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component_id"))
 

@@ -79,11 +79,37 @@ def test_spanning_links_connect_what_pairs_do(monkeypatch, split):
 
 
 def test_components_of_chains_and_hubs(spark):
-    links = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5001)]
-    names = sorted({x for p in links for x in p})
-    found = components(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(x, 10_000 - x) for x in names], "node long, name long"))
-    got = {r.node: r.component for r in found.collect()}
-    assert got == {x: 10_000 - (200 if x <= 200 else 1299 if x < 5000 else 5001) for x in names}
+    links = [(i + 1, i) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(-5000, 5001)]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    names = {x for p in links for x in p}
+    assert {r.node: r.component for r in found} == {x: 0 if 0 <= x <= 200 else 1000 if 0 < x < 5000 else -5000 for x in names}
+    assert len(found) == len(names)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def chain(n, draw):
+    """Texts whose fingerprints differ, each linked to the next: words are changed until a bit turns."""
+    words, out = [f"w{draw.randrange(10**6)}" for _ in range(300)], []
+    while len(out) < n:
+        before = fingerprint(" ".join(words).encode())
+        out.append(" ".join(words))
+        while fingerprint(" ".join(words).encode()) == before:
+            trial = list(words)
+            trial[draw.randrange(300)] = f"w{draw.randrange(10**6)}"
+            if (fingerprint(" ".join(trial).encode()) ^ before).bit_count() <= 4:
+                words = trial
+    return out
+
+
+@pytest.mark.parametrize("same", [1, None])
+def test_repeated_ids_with_linked_texts(spark, docs, same):
+    """A row per row of docs, though one doc_id (or none) has several linked texts, in chains among others."""
+    draw = random.Random(5)
+    given = [(same, t) for t in chain(6, draw)] + [(i % 3 + 7, t) for i, t in enumerate(chain(9, draw))] + [(7, "far from all of these")]
+    fps = [(i, slow_fingerprint(t)) for i, t in given]
+    want = sorted((repr(i), f"{fp:016x}", repr(c)) for (i, fp), c in zip(fps, slow_components(fps)))
+    assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in simhash_components(docs(given)).collect()) == want
+    assert len(want) == 16
 
 
 def test_one_of_each_stays(spark, docs):
