@@ -16,21 +16,15 @@ SPACE = b" \t\n\x0b\x0c\r"
 SLOTS, KICKS = 4, 200
 
 
-class CuckooIndex:
-    """Live digests: a cuckoo filter in front of the stored content, bucketed as the filter is.
-
-    The filter holds one 16-bit fingerprint a digest in one of two buckets of four. A miss proves that a digest is new;
-    a hit is verified against the content stored under the two buckets. Each stored entry lives in the bucket of
-    its fingerprint, so deletion removes both together. When an insertion kicks too often, the table doubles and is
-    refilled from the stored keys.
-    """
+class CuckooFilter:
+    """Marks of 16 bits in buckets of four, each in one of two buckets: may say yes wrongly, never no."""
 
-    def __init__(self, size: int = 64):
-        self.size = 1 << max(1, (size - 1).bit_length())
-        self.table: list[list[tuple[int, bytes, list]]] = [[] for _ in range(self.size)]
-        self.live = 0
+    def __init__(self, size: int):
+        self.size = size
+        self.table: list[list[int]] = [[] for _ in range(size)]
 
-    def _places(self, digest: bytes) -> tuple[int, int, int]:
+    def places(self, digest: bytes) -> tuple[int, int, int]:
+        """The digest's mark and its two buckets."""
         mark = int.from_bytes(digest[:2], "little") or 1
         one = int.from_bytes(digest[2:10], "little") & (self.size - 1)
         return mark, one, self._other(one, mark)
@@ -38,91 +32,134 @@ class CuckooIndex:
     def _other(self, at: int, mark: int) -> int:
         return (at ^ (mark * 0x5BD1E995 >> 3)) & (self.size - 1)
 
+    def has(self, digest: bytes) -> bool:
+        mark, one, two = self.places(digest)
+        return mark in self.table[one] or mark in self.table[two]
+
+    def insert(self, digest: bytes) -> bool:
+        """False if it overflows: after KICKS moves a mark is without a place, and the filter must be made anew."""
+        mark, one, two = self.places(digest)
+        at = one if len(self.table[one]) <= len(self.table[two]) else two
+        for kick in range(KICKS):
+            if len(self.table[at]) < SLOTS:
+                self.table[at].append(mark)
+                return True
+            turn = kick % SLOTS
+            mark, self.table[at][turn] = self.table[at][turn], mark
+            at = self._other(at, mark)
+        return False
+
+    def delete(self, digest: bytes) -> None:
+        """digest must have been inserted; of equal marks any may go."""
+        mark, one, two = self.places(digest)
+        self.table[one if mark in self.table[one] else two].remove(mark)
+
+
+class CuckooIndex:
+    """Live digests: a cuckoo filter of short marks in front of the stored content.
+
+    A miss in the filter proves that a digest is new, and the store isn't touched. A hit may be false, so it is
+    verified against the content: whole digests with their values, in buckets of their own, which kicks don't move.
+    Deletion takes the mark and the content. When the filter overflows, it doubles and is refilled from the stored keys.
+    """
+
+    def __init__(self, size: int = 64):
+        self.filter = CuckooFilter(1 << max(1, (size - 1).bit_length()))
+        self.content: dict[int, list[tuple[bytes, list]]] = {}
+        self.live = 0
+        self.false_hits = 0
+
+    @staticmethod
+    def _bucket(digest: bytes) -> int:
+        return int.from_bytes(digest[10:16], "little")
+
     def get(self, digest: bytes) -> list | None:
         """What is stored for digest, or None."""
-        mark, one, two = self._places(digest)
-        for at in (one, two):
-            for m, key, value in self.table[at]:
-                if m == mark and key == digest:
-                    return value
+        if not self.filter.has(digest):
+            return None
+        for key, value in self.content.get(self._bucket(digest), ()):
+            if key == digest:
+                return value
+        self.false_hits += 1
         return None
 
     def insert(self, digest: bytes, value: list) -> None:
         """digest must not be live."""
-        mark, one, two = self._places(digest)
-        entry, at = (mark, digest, value), one if len(self.table[one]) <= len(self.table[two]) else two
-        for kick in range(KICKS):
-            if len(self.table[at]) < SLOTS:
-                self.table[at].append(entry)
-                self.live += 1
-                return
-            turn = kick % SLOTS
-            entry, self.table[at][turn] = self.table[at][turn], entry
-            at = self._other(at, entry[0])
-        self._resize(entry)
+        self.content.setdefault(self._bucket(digest), []).append((digest, value))
+        self.live += 1
+        if not self.filter.insert(digest):
+            self._resize()
 
     def delete(self, digest: bytes) -> bool:
-        mark, one, two = self._places(digest)
-        for at in (one, two):
-            for i, (m, key, _) in enumerate(self.table[at]):
-                if m == mark and key == digest:
-                    del self.table[at][i]
-                    self.live -= 1
-                    return True
-        return False
+        if self.get(digest) is None:
+            return False
+        at = self._bucket(digest)
+        left = [x for x in self.content.pop(at) if x[0] != digest]
+        if left:
+            self.content[at] = left
+        self.filter.delete(digest)
+        self.live -= 1
+        return True
 
     def items(self) -> Iterator[tuple[bytes, list]]:
-        for bucket in self.table:
-            for _, key, value in bucket:
-                yield key, value
-
-    def _resize(self, left_over: tuple[int, bytes, list]) -> None:
-        stored = [*self.items(), left_over[1:]]
-        self.__init__(self.size * 2)
-        for key, value in stored:
-            self.insert(key, value)
+        for bucket in self.content.values():
+            yield from bucket
+
+    def _resize(self) -> None:
+        size = self.filter.size
+        while True:
+            size *= 2
+            self.filter = CuckooFilter(size)
+            if all(self.filter.insert(key) for key, _ in self.items()):
+                return
 
 
 def _better(a: list, b: list) -> bool:
-    """More code points, then the smaller doc_id."""
-    return (-a[0], a[1]) < (-b[0], b[1])
+    """More code points, then the smaller doc_id, then the row that was read first."""
+    return (-a[0], a[1], a[2]) < (-b[0], b[1], b[2])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row numbers the rows, as nothing else may tell them apart; the result is written once, so it stays as it is."""
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         digests = [hashlib.sha256((b or b"").translate(None, SPACE)).digest() for b in batch["body"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["points"], pa.array(digests, pa.binary())], names=["doc_id", "points", "digest"])
+        rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+        row += batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["points"], rows, pa.array(digests, pa.binary())], names=["doc_id", "points", "row", "digest"])
 
 
-def _gather(index: CuckooIndex, digests, points, ids, counts) -> None:
-    for digest, *new, count in zip(digests, points, ids, counts):
+def _gather(index: CuckooIndex, digests, points, ids, rows, counts) -> None:
+    for digest, *new, count in zip(digests, points, ids, rows, counts):
         old = index.get(digest)
         if old is None:
             index.insert(digest, [*new, count])
             continue
-        count += old[2]
+        count += old[3]
         if _better(new, old):  # the row that stood for this digest goes, the better one is live from now on
             index.delete(digest)
             index.insert(digest, [*new, count])
         else:
-            old[2] = count
+            old[3] = count
 
 
-GROUPS = "digest binary, points long, keep_id long, group_size long"
+GROUPS = "digest binary, points long, keep_id long, keep_row long, group_size long"
+COLUMNS = [part.split()[0] for part in GROUPS.split(", ")]
 
 
 def _table(index: CuckooIndex) -> pa.RecordBatch:
     rows = [(k, *v) for k, v in index.items()]
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["digest", "points", "keep_id", "group_size"])
+    cols = list(zip(*rows)) if rows else [[]] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.binary()) for i, c in enumerate(cols)], names=COLUMNS)
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of one partition of documents, a bounded number at a time: a hot text leaves it as few rows."""
     index = CuckooIndex()
     for batch in batches:
-        _gather(index, batch["digest"].to_pylist(), batch["points"].to_pylist(), batch["doc_id"].to_pylist(), [1] * batch.num_rows)
+        _gather(index, *(batch[c].to_pylist() for c in ("digest", "points", "doc_id", "row")), [1] * batch.num_rows)
         if index.live > 100_000:
             yield _table(index)
             index = CuckooIndex()
@@ -133,7 +170,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of one range of digests: a partition of the shuffled local groups has all rows of its digests."""
     index = CuckooIndex()
     for batch in batches:
-        _gather(index, *(batch[c].to_pylist() for c in ("digest", "points", "keep_id", "group_size")))
+        _gather(index, *(batch[c].to_pylist() for c in COLUMNS))
     yield _table(index)
 
 
@@ -141,22 +178,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, keep_id, group_size, kept, text_sha256, one row per row of docs.
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts as empty. The row with most
-    code points in the original text stays, then the smallest doc_id (null: behind all others). Of rows that share
-    doc_id and text, all have kept set, since nothing tells them apart. An empty table gives no rows.
+    code points in the original text stays, then the smallest doc_id (null: behind all others). Of rows that agree in
+    both, whether their texts differ in white space or not at all, one stays: exactly one row of each group has kept
+    set. Texts of any length are hashed whole; further columns stay behind, and an empty table gives no rows.
 
     Each partition of documents groups its digests in a cuckoo index of its own; the groups are dealt by digest, and
     each task merges its digests in an index that holds them alone. A hot text reaches it as one row from each
     partition. The documents then meet their groups by join_groups().
     """
     plain = documents(docs, id_col, text_col).withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID)), "points": F.coalesce(F.length(F.col("body").cast("string")), F.lit(0)).cast("long")})
-    rows = cut(plain.mapInArrow(_digests, "doc_id long, points long, digest binary"))
+    rows = cut(plain.mapInArrow(_digests, "doc_id long, points long, row long, digest binary"))
     groups = cut(rows.mapInArrow(_local, GROUPS).repartition("digest").mapInArrow(_whole, GROUPS))
-    out = join_groups(rows, groups.withColumnRenamed("points", "most"), "digest", "group_size", rows.count())
+    out = join_groups(rows, groups.drop("points"), "digest", "group_size", rows.count())
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(
         real("doc_id").alias("doc_id"),
         real("keep_id").alias("keep_id"),
         "group_size",
-        ((F.col("doc_id") == F.col("keep_id")) & (F.col("points") == F.col("most"))).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
