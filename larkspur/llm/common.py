@@ -20,6 +20,8 @@ PACKED = "bucket int, kind int, blob binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: At most so many groups are ever broadcast by join_groups().
 HEAVY_GROUPS = 1024
+#: What a task holds of a bucket at a time, and a bound on the number of buckets.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 19
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A null doc_id is ordered behind all others.
 NO_ID = 2**63 - 1
@@ -30,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets an
+    own one; on a cluster, whose executors share no local folder, it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="larkspur-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -55,9 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def buckets(spark: SparkSession, each: int = 2) -> int:
-    """How many buckets the hashed work is dealt to: it follows spark.sql.shuffle.partitions, which follows the data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) * each | 1
+def input_bytes(df: DataFrame) -> int:
+    """The size of what df reads: Catalyst's figures of its plan's leaves, for scans those of their files. Leaves
+    without a figure (they show the default, which is next to infinite) count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def buckets(df: DataFrame, each: int = 2) -> int:
+    """How many buckets the hashed work of df is dealt to: so many that each has about BUCKET_BYTES of it, and no fewer
+    than `each` a shuffle partition."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * each
+    return max(few, min(input_bytes(df) // BUCKET_BYTES, MOST_BUCKETS)) | 1
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -25,10 +25,8 @@ _OP2 = r"""
 WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 every AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM raw),
 trimmed AS (SELECT *, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS unit FROM every),
-units AS (SELECT doc_id, pos, unit, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, lead(unit) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM trimmed WHERE unit <> ''),
-runs AS (SELECT doc_id, i, row_number() OVER (PARTITION BY unit, nxt ORDER BY doc_id, i) > 1 AS again FROM units WHERE nxt IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM runs WHERE again),
-marked AS (SELECT t.doc_id, t.line, t.pos, g.i IS NOT NULL AS goes, u.i IS NOT NULL AS counts FROM trimmed t LEFT JOIN units u USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.i = u.i)
+units AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS again FROM trimmed WHERE unit <> ''),
+marked AS (SELECT t.doc_id, t.line, t.pos, coalesce(u.again, false) AS goes, u.pos IS NOT NULL AS counts FROM trimmed t LEFT JOIN units u ON t.doc_id = u.doc_id AND t.pos = u.pos)
 SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (goes) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256 FROM marked GROUP BY doc_id
 """
 

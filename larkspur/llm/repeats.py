@@ -1,21 +1,25 @@
-"""Runs of units (words or lines) that occur earlier in the corpus: winnowed fingerprints, settled by bucket.
+"""Runs of words that occur earlier in the corpus: winnowed fingerprints, settled by bucket.
 
 A window is `window` consecutive units of one document. Each window selects the least hash among its runs of `gram`
 units (winnowing); a block is a stretch of windows that select the same place. Equal windows select equal grams, so
 they lie in blocks of one fingerprint:
 
-1. Blocks are keyed by fingerprint, with a hash of the whole block as the check. Of equal blocks all but the earliest
-   are marked: each of their windows starts earlier elsewhere.
+1. Blocks are keyed by fingerprint, with a hash of the whole block's bytes as the check. Of equal blocks all but the
+   earliest are marked: each of their windows starts earlier elsewhere.
 2. Where a fingerprint has different blocks, equal windows may lie in unequal blocks: there the earliest of each
    block's copies is extended to all its windows, and these are settled in the same way, one by one.
 
+The key is a polynomial over the units' hashes; the check is another hash, with another seed, of the joined bytes, so
+units whose hashes collide don't collide in both.
+
 So the result is that of comparing all windows, while about 2 / (window - gram + 2) entries a unit travel, each bucket
 as one packed row. Equal entries of a task meet before they travel, so a passage in a third of all documents leaves a
 task as one entry. A fingerprint with many different blocks in a task is hot: the blocks go to buckets dealt by block,
 a notice goes to the fingerprint's own bucket, and all blocks of the fingerprint are taken as step 2 takes them.
 
 Documents are known by doc_id and a checksum of the text, and ordered by these. Rows equal in both are one document:
-none of them repeats the other, and all get its marks.
+none of them repeats the other, and all get its marks. Texts meet their marks in a shuffle sorted so that a bucket's
+marks come first: its texts then pass one packed row at a time and are never held together.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
 from larkspur.llm.common import NO_ID, PACKED, PACKED_ARROW, documents, in_slices, mix, pack, packed_batch, split_by, trimmed, unpack, unpack_all
-from larkspur.llm.windows import range_hashes, window_hashes, window_minima
+from larkspur.llm.windows import window_hashes, window_minima
 
-ENTRIES, MARKS, MIXED, RUN, BODIES = range(5)
+ENTRIES, MARKS, MIXED, RUN, BODIES, SEGMENTS = range(6)
 FIELDS = ["key", "check", "doc", "tie", "start", "count", "hot"]
 SPANS = ["doc", "tie", "start", "count"]
 KINDS = {"key": np.uint64, "check": np.uint64, "doc": np.int64, "tie": np.uint32, "start": np.uint32, "count": np.uint32, "hot": np.bool_}
+CHECK_SEED = 0x5EED
 #: A task settles so many entries at a time; a fingerprint with so many different blocks among them is hot.
 AT_ONCE, HOT = 1 << 17, 64
 #: Bytes of text that a task deals to buckets at a time.
@@ -63,16 +68,29 @@ def hashed(units: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, units), np.uint64, len(units))
 
 
-def blocks(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def joined_units(units: list[bytes], joiner: bytes) -> tuple[bytes, list[int], list[int]]:
+    """The joined bytes, and where each unit starts and stops in them. No unit has the joiner in it."""
+    stop = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + len(joiner)) - len(joiner)
+    start = np.concatenate([[0], stop[:-1] + len(joiner)]) if len(units) else stop
+    return joiner.join(units), start.tolist(), stop.tolist()
+
+
+def checks(units: list[bytes], start: np.ndarray, stop: np.ndarray, joiner: bytes = b" ") -> np.ndarray:
+    """A hash of the bytes of units[start:stop] for each pair: independent of the units' own hashes."""
+    body, a, b = joined_units(units, joiner)
+    return np.fromiter((xxh3_64_intdigest(body[a[i] : b[j - 1]], CHECK_SEED) for i, j in zip(start.tolist(), stop.tolist())), np.uint64, len(start))
+
+
+def blocks(units: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
     """key, check, start, count of each block of a document."""
     n = len(units) - window + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    grams = window_hashes(units, gram)
+    grams = window_hashes(hashed(units), gram)
     place = window_minima(grams, window - gram + 1)
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(start, n))
-    return grams[place[start]], range_hashes(units, start, start + count - 1 + window), start, count
+    return grams[place[start]], checks(units, start, start + count - 1 + window), start, count
 
 
 def _joined(parts: list[dict[str, np.ndarray]], names: list[str]) -> dict[str, np.ndarray]:
@@ -106,13 +124,14 @@ def _news(*columns: np.ndarray) -> np.ndarray:
 
 
 def _merged(spans: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Neighbouring spans of windows of a document as one."""
+    """Neighbouring and overlapping spans of a document as one."""
     s = _at(spans, np.lexsort((spans["start"], spans["tie"], spans["doc"])))
     first = _news(s["doc"], s["tie"])
     first[1:] |= s["start"][1:] > s["start"][:-1] + s["count"][:-1]
     at = np.flatnonzero(first)
-    last = np.append(at[1:], len(first)) - 1
-    return _at(s, at, ["doc", "tie", "start"]) | {"count": (s["start"][last] + s["count"][last] - s["start"][at[: len(last)]]).astype(np.uint32)} if len(at) else s
+    if not len(at):
+        return s
+    return _at(s, at, ["doc", "tie", "start"]) | {"count": (np.maximum.reduceat(s["start"] + s["count"], at) - s["start"][at]).astype(np.uint32)}
 
 
 def _settle(entries: dict[str, np.ndarray], old: np.ndarray) -> tuple[dict, dict, np.ndarray, np.ndarray]:
@@ -160,7 +179,7 @@ def block_entries(docs: DataFrame, tokenise: Tokenise, window: int, gram: int, b
         spread, parts, held = TaskContext.get().partitionId() * 31, [], 0
         for batch in batches:
             for doc, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist()):
-                found = blocks(hashed(tokenise(body or b"")), window, gram)
+                found = blocks(tokenise(body or b""), window, gram)
                 if len(found[0]):
                     parts.append(_document(NO_ID if doc is None else doc, zlib.crc32(body), *found))
                     held += len(found[0])
@@ -175,31 +194,40 @@ def block_entries(docs: DataFrame, tokenise: Tokenise, window: int, gram: int, b
     return docs.mapInArrow(run, PACKED)
 
 
-def settle(entries: DataFrame) -> DataFrame:
-    """Packed MARKS, MIXED and RUN rows of packed ENTRIES, RUN (history, earlier than all entries) and MARKS rows."""
+def settled(blobs: Iterator[tuple[int, int, bytes]], runs: bool = True) -> list[tuple[int, int, bytes]]:
+    """Packed MARKS, MIXED and, with runs, RUN rows of one bucket's ENTRIES, RUN (history, earlier than all entries) and MARKS."""
+    parts, out, bucket = {ENTRIES: [], RUN: []}, [], 0
+    for bucket, kind, blob in blobs:
+        if kind == MARKS:
+            out.append((bucket, MARKS, blob))
+        else:
+            parts[kind].append(_entries_of(blob))
+    new, old = _joined(parts[ENTRIES], FIELDS), _joined(parts[RUN], FIELDS)
+    e, was, first, repeats = _settle({n: np.concatenate([old[n], new[n]]) for n in FIELDS}, np.arange(len(old["key"]) + len(new["key"])) < len(old["key"]))
+    if repeats.any():
+        out.append((bucket, MARKS, pack(**_merged(_at(e, repeats, SPANS)))))
+    e, was = _at(e, first), was[first]
+    if len(was):
+        group = np.cumsum(_news(e["key"])) - 1
+        several, fresh, hot = np.bincount(group) > 1, np.bincount(group, ~was) > 0, np.bincount(group, e["hot"]) > 0
+        mixed = ((several | hot) & fresh)[group] & (e["count"] > 0)
+        if mixed.any():
+            out.append((bucket, MIXED, pack(**_at(e, mixed, SPANS))))
+        if runs and not was.all():
+            out.append((bucket, RUN, _entry_blob(_at(e, ~was))))
+    return out
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "blob")))
+
+
+def settle(entries: DataFrame, runs: bool = True) -> DataFrame:
+    """settled() of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, out, bucket = {ENTRIES: [], RUN: []}, [], 0
-        for batch in batches:
-            for bucket, kind, blob in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "blob"))):
-                if kind == MARKS:
-                    out.append((bucket, MARKS, blob))
-                else:
-                    parts[kind].append(_entries_of(blob))
-        new, old = _joined(parts[ENTRIES], FIELDS), _joined(parts[RUN], FIELDS)
-        e, was, first, repeats = _settle({n: np.concatenate([old[n], new[n]]) for n in FIELDS}, np.arange(len(old["key"]) + len(new["key"])) < len(old["key"]))
-        if repeats.any():
-            out.append((bucket, MARKS, pack(**_merged(_at(e, repeats, SPANS)))))
-        e, was = _at(e, first), was[first]
-        if len(was):
-            group = np.cumsum(_news(e["key"])) - 1
-            several, fresh, hot = np.bincount(group) > 1, np.bincount(group, ~was) > 0, np.bincount(group, e["hot"]) > 0
-            mixed = ((several | hot) & fresh)[group] & (e["count"] > 0)
-            if mixed.any():
-                out.append((bucket, MIXED, pack(**_at(e, mixed, SPANS))))
-            if not was.all():
-                out.append((bucket, RUN, _entry_blob(_at(e, ~was))))
-        yield packed_batch(out)
+        yield packed_batch(settled(rows_of(batches), runs))
 
     return entries.groupBy("bucket").applyInArrow(run, PACKED)
 
@@ -263,36 +291,41 @@ def _spans_of(parts: list[dict], kinds=SPANS) -> dict[tuple[int, int], tuple[np.
     return {(int(s["doc"][a]), int(s["tie"][a])): (s["start"][a:b].astype(np.int64), s["count"][a:b].astype(np.int64)) for a, b in zip(at, np.append(at[1:], len(s["doc"])))}
 
 
-def _opened(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[dict], dict]:
-    texts, spans = [], []
-    for batch in batches:
-        for k, blob in zip(batch["kind"].to_pylist(), batch["blob"].to_pylist()):
-            if k == BODIES:
-                texts.append(blob)
-            elif k == kind:
-                spans.append(unpack(blob))
-    return texts, _spans_of(spans)
+def meeting(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Packed texts and spans by bucket, a bucket's spans first."""
+    return texts.unionByName(spans).repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+    """Each packed row of texts with the spans of its bucket, as meeting() brings them."""
+    now, parts, spans = None, [], None
+    for bucket, kind, blob in rows_of(batches):
+        if bucket != now:
+            now, parts, spans = bucket, [], None
+        if kind != BODIES:
+            parts.append(unpack(blob))
+        else:
+            if spans is None:
+                spans, parts = _spans_of(parts), []
+            yield unpack(blob), spans
 
 
 def window_entries(texts: DataFrame, mixed: DataFrame, tokenise: Tokenise, window: int, buckets: int) -> DataFrame:
     """Packed entries of all windows in mixed blocks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        blobs, spans = _opened(batches, MIXED)
-        parts, held, spread, seen = [], 0, 0, set()
-        for blob in blobs if spans else ():
-            part = unpack(blob)
-            for doc, tie, body in zip(part["doc"].tolist(), part["tie"].tolist(), part["c_body"]):
-                if (doc, tie) not in spans or (doc, tie) in seen:
+        parts, held, spread = [], 0, 0
+        for part, spans in _met(batches):
+            for doc, tie, body in zip(part["doc"].tolist(), part["tie"].tolist(), part["c_body"]) if spans else ():
+                if (doc, tie) not in spans:
                     continue
-                seen.add((doc, tie))
-                start, count = spans[doc, tie]
-                units = hashed(tokenise(body or b""))
+                start, count = spans.pop((doc, tie))  # of rows that are one document the first is enough
+                units = tokenise(body or b"")
                 edge = np.zeros(len(units) + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + count, -1)
                 at = np.flatnonzero(np.cumsum(edge) > 0)
-                parts.append(_document(doc, tie, window_hashes(units, window)[at], range_hashes(units, at, at + window), at, np.ones(len(at), np.uint32)))
+                parts.append(_document(doc, tie, window_hashes(hashed(units), window)[at], checks(units, at, at + window), at, np.ones(len(at), np.uint32)))
                 held, spread = held + len(at), spread + doc
                 if held >= AT_ONCE:
                     yield from _sent(parts, buckets, spread)
@@ -301,10 +334,9 @@ def window_entries(texts: DataFrame, mixed: DataFrame, tokenise: Tokenise, windo
             yield from _sent(parts, buckets, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_slices(rows(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([], f.type) for f in PACKED_ARROW], schema=PACKED_ARROW)
+        return trimmed(in_slices(rows(batches)))
 
-    return texts.unionByName(mixed).groupBy("bucket").applyInArrow(run, PACKED)
+    return meeting(texts, mixed).mapInArrow(run, PACKED)
 
 
 def removed_units(start: np.ndarray, count: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -327,11 +359,11 @@ def without_marks(texts: DataFrame, marks: DataFrame, source: DataFrame, tokenis
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string(), *[to_arrow_type(f.dataType) for f in kept]]
     names = [f.name for f in schema]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, spans = _opened(batches, MARKS)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for blob in blobs:
-            part, out = unpack(blob), []
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, spans in _met(batches):
+            out = []
             for i, (doc, tie, body) in enumerate(zip(part["doc"].tolist(), part["tie"].tolist(), part["c_body"])):
                 units = tokenise(body or b"")
                 gone = removed_units(*spans.get((doc, tie), none), window, len(units))
@@ -339,10 +371,12 @@ def without_marks(texts: DataFrame, marks: DataFrame, source: DataFrame, tokenis
                 spans_ = [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]
                 text = None if body is None else rebuild(body, units, gone).decode("utf-8", "replace")
                 out.append((part["c_doc_id"][i], len(units), int(gone.sum()), spans_, text, *[part[f"c_{n}"][i] for n in keep]))
-            cols = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(done(batches))
 
-    return texts.unionByName(marks).groupBy("bucket").applyInArrow(run, schema)
+    return meeting(texts, marks).mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

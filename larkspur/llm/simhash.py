@@ -139,7 +139,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     of up to SMALL give their pairs, longer ones a spanning forest, so no list gives more than it has members times
     SMALL. A list holds distinct fingerprints, 9 bytes each, however many documents have them.
     """
-    n, masks = buckets(distinct.sparkSession), position_sets(most)
+    n, masks = buckets(distinct), position_sets(most)
 
     def dealt(fps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         which = np.repeat(np.arange(len(masks)), len(fps))

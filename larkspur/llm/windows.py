@@ -7,8 +7,6 @@ import numpy as np
 from larkspur.llm.common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
-#: The inverse of BASE modulo 2**64.
-UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
@@ -36,29 +34,6 @@ def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
         return mix(out[:n])
 
 
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n or more; they are kept."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = 1 << n.bit_length()
-        with np.errstate(over="ignore"):
-            up, down = np.full(n, BASE), np.full(n, UNBASE)
-            up[0] = down[0] = 1
-            _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
-
-
-def range_hashes(units: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of units[start:stop] for each pair, from prefix sums."""
-    up, down = powers(len(units) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * up[: len(units)], dtype=np.uint64)])
-        return mix((sums[stop] - sums[start]) * down[start] ^ mix((stop - start).astype(np.uint64)))
-
-
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     """For each run of width keys, the place of its least key (the first of equals)."""
     n = len(keys) - width + 1
