@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from larkspur.llm.common import NO_ID, PACKED, buckets, cut, in_slices, mix, pack, split_by, trimmed, unpack
-from larkspur.llm.repeats import AT_ONCE, MARKS, SEGMENTS, _at, _document, _merged, _news, _sent, bodies, keyed, lines, rows_of, settle, to_documents, without_marks
+from larkspur.llm.repeats import MARKS, SEGMENTS, _at, _document, _merged, _news, _sent, bodies, keyed, lines, rows_of, settle, to_documents, without_marks
 from larkspur.llm.windows import window_minima
 
+#: A task joins so many of its fingerprints at a time.
+AT_ONCE = 1 << 15
 PLACE = ["key", "check", "doc", "tie", "start"]
 
 
@@ -153,7 +155,7 @@ def join_segments(entries: DataFrame, window: int, buckets: int) -> DataFrame:
             yield from _sent(lone + _lone(first, none, none, window, own=True), buckets, bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_slices(rows(batches))
+        yield from trimmed(in_slices(rows(batches)))
 
     return entries.groupBy("bucket").applyInArrow(run, PACKED)
 

@@ -219,8 +219,10 @@ def settled(blobs: Iterator[tuple[int, int, bytes]], runs: bool = True) -> list[
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    """Packed rows, one blob at a time."""
     for batch in batches:
-        yield from zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "blob")))
+        for bucket, kind, blob in zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), batch["blob"]):
+            yield bucket, kind, blob.as_py()
 
 
 def settle(entries: DataFrame, runs: bool = True) -> DataFrame:
