@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import own_path, remove_path
+
 #: Rows of the transport format: a bucket, what the blob is, and numpy arrays packed by pack().
 PACKED = "bucket int, kind int, blob binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -31,33 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets an
-    own one; on a cluster, whose executors share no local folder, it is an error."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="larkspur-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def own_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder from then on; lost executors don't matter."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once, written to the shared folder and read from there; lost executors don't matter. A table takes
+    less room than a checkpoint, is read by column, and can be dropped."""
+    path = own_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._larkspur_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Removes tables made by cut() that nothing reads any more."""
+    for df in cuts:
+        remove_path(df.sparkSession, df._larkspur_path)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, join_groups
+from larkspur.llm.common import cut, drop, join_groups
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     while total:
         heard = join_groups(both, labels.select(F.col("node").alias("a"), "label", "degree"), "a", "degree", total)
         heard = heard.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_heard"))
-        told = cut(labels.join(heard, "node").withColumn("_new", F.least("label", "_heard")))
+        told = cut(labels.select("node", "degree", "label").join(heard, "node").withColumn("_new", F.least("label", "_heard")))
+        drop(labels)
         named = told.groupBy("_new").agg(F.count("*").alias("_size"))
         jumps = named.join(told.select(F.col("node").alias("_new"), F.col("_new").alias("_next")), "_new")
         jumped = join_groups(told, jumps, "_new", "_size", total)
-        after = cut(jumped.select("node", "degree", F.col("_next").alias("label"), (F.col("_next") < F.col("label")).alias("_changed")))
-        labels = after.drop("_changed")
-        if after.where("_changed").isEmpty():
+        labels = cut(jumped.select("node", "degree", F.col("_next").alias("label"), (F.col("_next") < F.col("label")).alias("_changed")))
+        drop(told)
+        if labels.where("_changed").isEmpty():
             break
+    drop(both)
     return labels.select("node", F.col("label").alias("component"))
