@@ -44,6 +44,21 @@ def parsed(text: Column, pattern: str | None = None) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text)
 
 
+def iso(ts: Column) -> Column:
+    """2024-03-01T07:05:00."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def now_iso() -> Column:
+    """The query's start as an ISO text."""
+    return iso(F.current_timestamp())
+
+
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp with or without zone."""
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def year_between(df: DataFrame, ts: str, first: int, last: int, partition: str | None = None) -> DataFrame:
     """Rows whose timestamp lies in the years, written as a range so that the scan can skip row groups.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import dow_sunday, month_start
 from larkspur.functions.numbers import rounded, share, weighted
+from larkspur.sources.shared import written
 
 
 def temporal_cube(rows: DataFrame, ts: str, *keys: str) -> DataFrame:
@@ -96,6 +97,27 @@ def paired(one: DataFrame, other: DataFrame, label: str, metrics: Sequence[str],
     return a.join(b, label).withColumns(gain)
 
 
+def exact_quantiles(rows: DataFrame, key: str, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """key and a column for each share: quantiles with interpolation, as a sort of each key's values gives them.
+
+    Values are counted, sorted into ranges side by side and written, so a key with most rows is many tasks'; a value's
+    rank is its place in its range after the rows of the ranges before. Nulls don't count.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    placed = written(counted.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_size"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.select(key, "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_size").over(Window.partitionBy(key)).alias("_all"))
+    within = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = placed.withColumn("_upto", F.sum("_n").over(within)).join(parts, [key, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_ahead"))
+    at = {name: (F.col("_all") - 1) * share for name, share in shares.items()}
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+    ends = {f"_{end}_{name}": F.max(F.when(holds(f(rank)), F.col(value))) for name, rank in at.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    found = upto.groupBy(key).agg(F.first("_all").alias("_all"), *[c.alias(n) for n, c in ends.items()])
+    between = {name: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (rank - F.floor(rank)) for name, rank in at.items()}
+    return found.select(key, *[c.alias(n) for n, c in between.items()])
+
+
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """rows in an order drawn from seed."""
     return rows.orderBy(F.rand(seed))

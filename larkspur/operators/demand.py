@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -12,8 +17,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import dow_monday
 from larkspur.operators.aggregates import error_metrics
+from larkspur.sources.shared import written
 
-FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos", "year_norm", "is_weekend", "is_rush_hour", "is_covid", "is_raining")
+#: Names of the model's inputs that come from a trip's time alone.
+BASE_FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos", "year_norm", "is_weekend", "is_rush_hour", "is_covid")
+#: The inputs that need no other table but weather.
+FEATURES = (*BASE_FEATURES, "is_raining")
 
 
 def zone_hour_demand(trips: DataFrame, zone: str, ts: str, constants: Sequence[str] = (), *keys: str) -> DataFrame:
@@ -29,6 +38,7 @@ def zone_hour_demand(trips: DataFrame, zone: str, ts: str, constants: Sequence[s
 def demand_features(demand: DataFrame, first_year: int = 2021, rain: str | None = None, precipitation: str | None = None) -> DataFrame:
     """demand with cyclic time, trend, flags, and target: log1p of the count."""
     turn = lambda c, period: 2 * 3.141592653589793 * F.col(c) / period
+    # The hours, days and months of the flags.
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     year, month, hour = F.col("year"), F.col("month"), F.col("hour")
     wet = F.coalesce(*[F.col(c) for c in (rain, precipitation) if c], F.lit(0.0)) > 0.5
@@ -63,25 +73,76 @@ def fit_boosted(rows: DataFrame, features: Sequence[str], target: str = "target"
     return Pipeline(stages=[_matrix(features), model]).fit(filled(rows, features))
 
 
-def fit_sgd(rows: DataFrame, features: Sequence[str], target: str = "target", epochs: int = 5, rate: float = 0.5) -> dict[str, object]:
-    """Linear weights by distributed gradient descent over standardised features: a pass over the rows an epoch.
+def _descend(x: np.ndarray, y: np.ndarray, weights: np.ndarray, rate: float, penalty: float, batch: int) -> tuple[np.ndarray, float]:
+    """One pass over a chunk in steps of a few rows; the last weight is the bias. Returns them and the sum of squared errors."""
+    total = 0.0
+    for at in range(0, len(y), batch):
+        some = x[at : at + batch]
+        error = some @ weights - y[at : at + batch]
+        total += float(error @ error)
+        step = some.T @ error / len(error)
+        step[:-1] += penalty * weights[:-1]
+        weights = weights - rate * step
+    return weights, total
 
-    Returns weights, bias, means, stds and the loss of each epoch; the driver sees sums alone.
+
+def fit_sgd(rows: DataFrame, features: Sequence[str], target: str = "target", epochs: int = 5, rate: float = 0.01, chunk: int = 200_000, batch: int = 16, penalty: float = 1e-4, test: DataFrame | None = None) -> dict[str, object]:
+    """Linear weights by stochastic descent over standardised features, in chunks and epochs.
+
+    In an epoch each task takes its rows in chunks of up to `chunk`, permutes each by the epoch's seed, and goes on from
+    the epoch's weights; the tasks' weights are averaged by their rows. The rate adapts: it is a fifth from then on when
+    an epoch doesn't lower the training error. Means and deviations are those of all rows. Rows are read once an epoch
+    from a written table; the driver sees a row of weights a task. Returns weights, bias, means, stds, rates, the
+    training error (mean square) of each epoch and, with test, its root mean square error after each epoch.
     """
-    data = filled(rows, features).select(*features, F.col(target).cast("double").alias("_y"))
+    data = written(filled(rows, features).select(*features, F.col(target).cast("double").alias("_y")))
     stats = data.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    means = [stats[f"m{i}"] or 0.0 for i in range(len(features))]
-    stds = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
-    x = [(F.col(c) - m) / s for c, m, s in zip(features, means, stds)]
-    weights, bias, losses = [0.0] * len(features), 0.0, []
+    means = np.array([stats[f"m{i}"] or 0.0 for i in range(len(features))])
+    stds = np.array([stats[f"s{i}"] or 1.0 for i in range(len(features))])
+    weights, losses, rates, tested = np.zeros(len(features) + 1), [], [], []
+
+    def epoch_of(epoch: int, weights: np.ndarray, rate: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            draw, own, total, n, held, size = np.random.default_rng((epoch, task)), weights, 0.0, 0, [], 0
+
+            def pass_over() -> None:
+                nonlocal own, total, n, held, size
+                block = np.concatenate(held)
+                block = block[draw.permutation(len(block))]
+                x = np.column_stack([(block[:, :-1] - means) / stds, np.ones(len(block))])
+                own, lost = _descend(x, block[:, -1], own, rate, penalty, batch)
+                total, n, held, size = total + lost, n + len(block), [], 0
+
+            for rows_ in batches:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in rows_.columns]))
+                size += rows_.num_rows
+                if size >= chunk:
+                    pass_over()
+            if size:
+                pass_over()
+            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([n]), pa.array([total]), pa.array([own.tolist()])], names=["task", "n", "total", "weights"])
+
+        return run
+
+    best = float("inf")
     for epoch in range(epochs):
-        error = sum((xi * w for xi, w in zip(x, weights)), F.lit(bias)) - F.col("_y")
-        row = data.agg(F.avg(error * error).alias("loss"), F.avg(error).alias("b"), *[F.avg(error * xi).alias(f"g{i}") for i, xi in enumerate(x)]).first()
-        step = rate / (1 + epoch) ** 0.5
-        weights = [w - step * row[f"g{i}"] for i, w in enumerate(weights)]
-        bias -= step * row["b"]
-        losses.append(row["loss"])
-    return {"weights": weights, "bias": bias, "means": means, "stds": stds, "losses": losses}
+        parts = [r for r in data.mapInArrow(epoch_of(epoch, weights, rate), "task long, n long, total double, weights array<double>").orderBy("task").collect() if r.n]
+        if not parts:
+            break
+        n = sum(r.n for r in parts)
+        weights = sum(np.array(r.weights) * (r.n / n) for r in parts)
+        losses.append(sum(r.total for r in parts) / n)
+        rates.append(rate)
+        if test is not None:
+            model = {"weights": weights[:-1].tolist(), "bias": float(weights[-1]), "means": means.tolist(), "stds": stds.tolist()}
+            tested.append(error_metrics(predict_sgd(test, model, features), target, "prediction").first()["rmse"])
+        if losses[-1] >= best:
+            rate /= 5
+        best = min(best, losses[-1])
+    return {"weights": weights[:-1].tolist(), "bias": float(weights[-1]), "means": means.tolist(), "stds": stds.tolist(), "losses": losses, "rates": rates, "tested": tested}
 
 
 def predict_sgd(rows: DataFrame, model: Mapping[str, list[float]], features: Sequence[str]) -> DataFrame:
@@ -98,3 +159,34 @@ def evaluate(predicted: DataFrame, target: str = "target") -> DataFrame:
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     """Features by importance in a boosted model, largest first, under their own names."""
     return sorted(zip(features, map(float, model.stages[-1].featureImportances)), key=lambda p: (-p[1], p[0]))
+
+
+def compare(train: DataFrame, test: DataFrame, key: str, values: Sequence[str], features: Sequence[str], base: Sequence[str], fit: Callable[[DataFrame, Sequence[str], int], PipelineModel], rounds: tuple[int, int] = (200, 150)) -> DataFrame:
+    """label, n, rmse, mae, r2 of: one model for all (unified); one for each value of key, and these together
+    (separate); one for all without the added features (base).
+
+    key's value is an input of the models for all, as a whole number. The first of rounds is for the unified model, the
+    second for the others. A value without rows to learn from or to test on gives no row of its own. The models are
+    independent, so they are fitted side by side.
+    """
+    spark = train.sparkSession
+    code = F.lit(-1)
+    for i, v in enumerate(values):
+        code = F.when(F.col(key) == v, i).otherwise(code)
+    every = [*features, "_code"]
+    train, test = (written(filled(d.withColumn("_code", code), every).select(key, "target", *every)) for d in (train, test))
+    both = [train.groupBy(key).count(), test.groupBy(key).count()]
+    have = set.intersection(*[{r[key] for r in d.collect()} for d in both])  # a row for each value
+    jobs = {"unified": (F.lit(True), every, rounds[0]), "base": (F.lit(True), [*base, "_code"], rounds[1])}
+    jobs |= {f"only {v}": (F.col(key) == v, list(features), rounds[1]) for v in values if v in have}
+
+    def run(job: tuple) -> DataFrame:
+        where, names, n = job
+        return fit(train.where(where), names, n).transform(filled(test.where(where), names)).select("target", "prediction")
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        found = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(run), jobs.values())))
+    parts = [d for label, d in found.items() if label.startswith("only ")]
+    if parts:
+        found["separate"] = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [evaluate(d).select(F.lit(label).alias("label"), "*") for label, d in found.items()])

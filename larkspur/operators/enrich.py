@@ -7,18 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A lookup of up to so many rows is sent to all executors; a larger one is shuffled.
-MOST_BROADCAST = 200_000
+#: A lookup of up to so many rows and bytes is sent to all executors; a larger one is shuffled.
+MOST_BROADCAST, MOST_BYTES = 200_000, 64 << 20
 
 
 def unique_lookup(lookup: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
     """lookup, broadcast if it is small; an error if a key occurs twice, which would repeat rows of the other side."""
     if not check:
         return lookup
-    rows, many = lookup.groupBy(*keys).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    size = F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in lookup.dtypes if not t.startswith(("array", "map", "struct"))), F.lit(0)))
+    nested = any(t.startswith(("array", "map", "struct")) for _, t in lookup.dtypes)  # of no known size
+    found = lookup.groupBy(*keys).agg(F.count("*").alias("_rows"), size.alias("_bytes"))
+    rows, many, held = found.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "_rows"), (F.max, "_rows"), (F.sum, "_bytes"))]).first()
     if many > 1:
         raise ValueError(f"the lookup's keys {list(keys)} aren't unique")
-    return F.broadcast(lookup) if rows <= MOST_BROADCAST else lookup
+    return F.broadcast(lookup) if rows <= MOST_BROADCAST and held <= MOST_BYTES and not nested else lookup
 
 
 def look_up(rows: DataFrame, lookup: DataFrame, keys: Mapping[str, str], prefix: str = "", fill: object = None, check: bool = True) -> DataFrame:

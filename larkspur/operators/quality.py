@@ -10,6 +10,7 @@ from larkspur.functions.numbers import band
 
 #: Fixed value: a dropoff that stands for none.
 PLACEHOLDER = "1989-01-01 00:00:00"
+#: Bounds of a duration and a fare, and the checks' names.
 MOST_HOURS, MOST_FARE = 24, 500
 
 
@@ -34,6 +35,7 @@ def checks(pickup: Column, dropoff: Column, distance: Column, passengers: Column
     }
 
 
+#: Fixed values, in the order of checks().
 ISSUES = ("invalid_year", "null_pickup", "null_dropoff", "placeholder_dropoff", "same_timestamps", "negative_duration", "excessive_duration", "zero_distance", "negative_distance", "zero_passengers", "negative_fare", "high_fare")
 
 

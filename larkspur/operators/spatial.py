@@ -14,14 +14,17 @@ def points_in_zones(points: DataFrame, zones: DataFrame, x: str, y: str, zone: s
     """points with the zone (or zones) they lie strictly within; null for points in none.
 
     Zones are cut into the grid cells of side `cell` that their bounds touch, so points meet only zones of their own
-    cell, in an equi-join. Up to most_broadcast zones are sent to all executors (they are counted); more are shuffled
-    by cell. Points in a cell of many rows are left to adaptive execution to split.
+    cell, in an equi-join. What is sent to all executors is counted: up to 8 * most_broadcast corners of the zones'
+    rings, each counted once a cell that its zone touches. More are shuffled by cell; points in a cell of many rows are left to
+    adaptive execution to split.
     """
     names = points.columns
     boxed = with_box(zones.select(F.col(zone).alias("_zone"), F.col(rings).alias("_rings")), "_rings")
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
     cells = boxed.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
-    few = zones.limit(most_broadcast + 1).count() <= most_broadcast
+    spans = (F.floor(F.col("xmax") / cell) - F.floor(F.col("xmin") / cell) + 1) * (F.floor(F.col("ymax") / cell) - F.floor(F.col("ymin") / cell) + 1)
+    corners = boxed.agg(F.sum(spans.cast("double") * F.size(F.flatten("_rings")))).first()[0] or 0.0
+    few = corners <= most_broadcast * 8
     keyed = points.withColumns({"_cx": F.floor(F.col(x) / cell).cast("long"), "_cy": F.floor(F.col(y) / cell).cast("long")})
     inside = (F.col("_x") >= F.col("xmin")) & (F.col("_x") <= F.col("xmax")) & (F.col("_y") >= F.col("ymin")) & (F.col("_y") <= F.col("ymax")) & within(F.col("_x"), F.col("_y"), F.col("_rings"))
     side = cells.withColumnsRenamed({"_cx": "_zx", "_cy": "_zy"})

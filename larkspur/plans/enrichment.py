@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from larkspur.functions.numbers import rounded
 from larkspur.operators import aggregates as agg
 from larkspur.operators import demand, enrich, spatial
 from larkspur.plans.base import DO, PU, registrar, trips, trips_sql
+from larkspur.plans.trips import SERVICES
+from larkspur.sources.shared import written
 from larkspur.sources.sinks import as_json
 from larkspur.sources.tables import load
 
@@ -18,7 +22,7 @@ QUERIES, ORACLE_SQL, query = registrar()
 
 def _zones(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("zone"), F.col("n_name").alias("name"), F.col("r_name").alias("borough"))
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("zone"), F.col("n_name").alias("name"), F.col("r_name").alias("borough"))
 
 
 _ZONES = "zones AS (SELECT n_nationkey AS zone, n_name AS name, r_name AS borough FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -79,13 +83,13 @@ def zone_hour_demand(spark: SparkSession, sf: str) -> DataFrame:
     return demand.zone_hour_demand(trips(spark, sf, PU), "pu_zone", "pickup", (), "service")
 
 
-_DEMAND = """WITH d AS (SELECT user_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, isodow(ts) - 1 AS dow, count(*) AS trip_count, max(0.6::DOUBLE) AS rain FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+_DEMAND = """WITH d AS (SELECT user_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, isodow(ts) - 1 AS dow, count(*) AS trip_count, max(value / 100) AS rain FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
     f AS (SELECT *, sin(2 * pi() * hour / 24) AS hour_sin, cos(2 * pi() * hour / 24) AS hour_cos, sin(2 * pi() * dow / 7) AS dow_sin, cos(2 * pi() * dow / 7) AS dow_cos, (year - 2021) / 2.0::DOUBLE AS year_norm,
     (dow >= 5)::INTEGER AS is_weekend, (hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19)::INTEGER AS is_rush_hour, ((year = 2020 AND month >= 3) OR (year = 2021 AND month <= 6))::INTEGER AS is_covid, (rain > 0.5)::INTEGER AS is_raining, ln(1 + trip_count) AS target FROM d)"""
 
 
 def _demand(spark: SparkSession, sf: str) -> DataFrame:
-    events = load(spark, sf, "events").withColumn("rain", F.lit(0.6))
+    events = load(spark, sf, "events").withColumn("rain", F.col("value") / 100)
     return demand.demand_features(demand.zone_hour_demand(events, "user_id", "ts", ("rain",)), 2021, "rain")
 
 
@@ -96,11 +100,12 @@ def demand_features(spark: SparkSession, sf: str) -> DataFrame:
     return _demand(spark, sf).select("user_id", "day", "hour", "trip_count", *[rounded(F.col(c), 6).alias(c) for c in shown], *flags)
 
 
-@query(_DEMAND + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS different FROM f HAVING count(DISTINCT {c}) <= 1" for c in ("year_norm", "is_weekend", "is_covid", "is_raining", "hour_sin")))
+@query(_DEMAND + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, min({c})::DOUBLE AS value FROM f HAVING count(DISTINCT {c}) <= 1" for c in ("year_norm", "is_weekend", "is_covid", "is_raining", "hour_sin")))
 def constant_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Features that don't vary, with their one value: their smallest isn't below their largest."""
     names = ("year_norm", "is_weekend", "is_covid", "is_raining", "hour_sin")
-    wide = _demand(spark, sf).agg(*[F.count_distinct(c).alias(c) for c in names])
-    return wide.unpivot([], list(names), "feature", "different").where("different <= 1")
+    ends = _demand(spark, sf).agg(*[F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in names])
+    return ends.unpivot([], list(names), "feature", "ends").where("NOT ends.low < ends.high").select("feature", F.col("ends.low").alias("value"))
 
 
 @query(trips_sql() + ", p AS (SELECT fare AS y, avg(fare) OVER (PARTITION BY operator) AS yhat FROM trips) SELECT count(*) AS n, round(1e-9 + sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(1e-9 + avg(abs(y - yhat)), 4) AS mae, round(1e-9 + 1 - avg((y - yhat) ** 2) / var_pop(y), 6) AS r2 FROM p")
@@ -166,28 +171,111 @@ def bernoulli_sample(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").sample(False, 0.05, 7).select("event_id", "ts", "value")
 
 
+#: Tables and models that several queries of a session share, by application and folder.
+_MADE: dict[tuple, object] = {}
+
+
+def _made(spark: SparkSession, sf: str, name: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = demand.zone_hour_demand(trips(spark, sf, PU), "pu_zone", "pickup")
-    rows = demand.demand_features(rows, 1995)
-    return rows.where("year < 2000"), rows.where("year >= 2000")
+    """Demand by service, zone and hour before 1998 and in 1998, with weather and zone features, as written tables."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        rows = demand.zone_hour_demand(trips(spark, sf, PU), "pu_zone", "pickup", (), "service")
+        events = load(spark, sf, "events")
+        weather = events.groupBy(F.month("ts").alias("month"), F.dayofmonth("ts").alias("day")).agg((F.avg("value") / 100).alias("rain"))
+        places = {"zone_schools": load(spark, sf, "supplier").select(F.col("s_nationkey").alias("pu_zone")), "zone_businesses": load(spark, sf, "customer").select(F.col("c_nationkey").alias("pu_zone"))}
+        rows = rows.join(weather, ["month", "day"], "left")
+        for name, some in places.items():
+            rows = rows.join(some.groupBy("pu_zone").agg(F.count("*").alias(name)), "pu_zone", "left")
+        rows = demand.demand_features(rows, 1995, "rain")
+        return written(rows.where("year < 1998")), written(rows.where("year = 1998"))
+
+    return _made(spark, sf, "halves", make)
+
+
+_INPUTS = (*demand.BASE_FEATURES, "is_raining", "zone_schools", "zone_businesses")
+
+
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    """The boosted models side by side, fitted once a session: 200 rounds for the one of all, 150 for the others."""
+
+    def make() -> DataFrame:
+        train, test = _halves(spark, sf)
+
+        def fit(rows: DataFrame, names: Sequence[str], rounds: int):
+            model = demand.fit_boosted(rows, names, rounds=rounds)
+            if rounds == 200:
+                _MADE[spark.sparkContext.applicationId, sf, "unified"] = demand.importances(model, names)
+            return model
+
+        found = demand.compare(train, test, "service", SERVICES, _INPUTS, demand.BASE_FEATURES, fit).collect()  # a row a model
+        return spark.createDataFrame(found, "label string, n long, rmse double, mae double, r2 double")
+
+    return _made(spark, sf, "compared", make)
 
 
 @query()
 def linear_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
-    model = demand.fit_linear(train, demand.FEATURES)
-    return demand.evaluate(model.transform(demand.filled(test, demand.FEATURES)))
+    model = demand.fit_linear(train, _INPUTS)
+    return demand.evaluate(model.transform(demand.filled(test, _INPUTS)))
 
 
 @query()
 def gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _halves(spark, sf)
-    model = demand.fit_boosted(train, demand.FEATURES)
-    return demand.evaluate(model.transform(demand.filled(test, demand.FEATURES)))
+    """The one boosted model of all services, 200 rounds."""
+    return _compared(spark, sf).where("label = 'unified'").drop("label")
+
+
+@query()
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """One model for all services, one for each and these together, and one without weather and zone features."""
+    return _compared(spark, sf)
+
+
+@query()
+def feature_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Inputs of the one model of all services by importance; their names are kept."""
+    _compared(spark, sf)
+    return spark.createDataFrame(_made(spark, sf, "unified", list), "feature string, importance double")
 
 
 @query()
 def sgd_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
-    model = demand.fit_sgd(train, demand.FEATURES)
-    return demand.evaluate(demand.predict_sgd(test, model, demand.FEATURES))
+    model = demand.fit_sgd(train, _INPUTS)
+    return demand.evaluate(demand.predict_sgd(test, model, _INPUTS))
+
+
+@query()
+def sgd_convergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Training error, rate and error on the test year after each epoch."""
+    train, test = _halves(spark, sf)
+    model = demand.fit_sgd(train, _INPUTS, test=test)
+    rows = [(i + 1, *r) for i, r in enumerate(zip(model["losses"], model["rates"], model["tested"]))]
+    return spark.createDataFrame(rows, "epoch int, loss double, rate double, test_rmse double")
+
+
+_TREND = trips_sql() + ", m AS (SELECT service, (year(pickup) - 1992) * 12 + month(pickup) AS x, count(*)::DOUBLE AS y FROM trips GROUP BY 1, 2)"
+
+
+@query(_TREND + " SELECT service, round(1e-9 + regr_slope(y, x), 6) AS slope, round(1e-9 + regr_intercept(y, x), 4) AS intercept, round(1e-9 + regr_r2(y, x), 6) AS r2, regr_count(y, x)::BIGINT AS n FROM m GROUP BY 1")
+def linear_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Least squares of monthly trips on the month, by service: closed form, in one aggregation."""
+    month = (F.year("pickup") - 1992) * 12 + F.month("pickup")
+    rows = trips(spark, sf).groupBy("service", month.alias("x")).agg(F.count("*").cast("double").alias("y"))
+    found = rows.groupBy("service").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_count("y", "x").alias("n"))
+    return found.withColumns({c: rounded(F.col(c), p) for c, p in (("slope", 6), ("intercept", 4), ("r2", 6))})
+
+
+@query(_DEMAND + " SELECT count(*) AS rows, sum(coalesce(is_raining, 0))::BIGINT AS raining, 0.0::DOUBLE AS missing, round(1e-9 + sum(hour_sin), 4) AS hour_sin FROM f")
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Features as doubles without nulls; one that a table lacks is 0."""
+    rows = demand.filled(_demand(spark, sf), ("is_raining", "hour_sin", "missing"))
+    return rows.agg(F.count("*").alias("rows"), F.sum("is_raining").cast("long").alias("raining"), F.sum("missing").alias("missing"), rounded(F.sum("hour_sin"), 4).alias("hour_sin"))

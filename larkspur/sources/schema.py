@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.sources.tables import side_by_side
+
 _WIDTH = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 
 
@@ -51,15 +53,14 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_drifting(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Parquet files of drifting schemas as one table.
 
-    Footers are read once. Files of one schema are read together, so the plan has a scan for each schema, not for
-    each file.
+    Footers are read once, several at a time. Files of one schema are read together, so the plan has a scan for each
+    schema, not for each file.
     """
     if not paths:
         return spark.createDataFrame([], schema or T.StructType())
     by: dict[str, list[str]] = {}
     kinds: dict[str, T.StructType] = {}
-    for path in paths:
-        found = spark.read.parquet(path).schema
+    for path, found in zip(paths, side_by_side(lambda p: spark.read.parquet(p).schema, paths)):
         by.setdefault(found.json(), []).append(path)
         kinds[found.json()] = found
     schema = schema or unify(kinds.values())
@@ -116,18 +117,19 @@ def schema_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     status: same, dtype_mismatch, extra or missing; a file that can't be read is one row with its error.
     """
-    rows = []
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        prefix = "_".join(name.split("_")[:2])
+
+    def probe(path: str) -> list[tuple]:
+        prefix = "_".join(path.rstrip("/").rsplit("/", 1)[-1].split("_")[:2])
         try:
-            rows += [(path, prefix, None, f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]
+            return [(path, prefix, None, f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]
         except Exception as error:  # noqa: BLE001  the error is the result
-            rows.append((path, prefix, str(error).splitlines()[0][:200], None, None))
+            return [(path, prefix, str(error).splitlines()[0][:200], None, None)]
+
+    rows = [row for found in side_by_side(probe, paths) for row in found]
     found = spark.createDataFrame(rows, "file string, prefix string, error string, column string, type string")
     good = found.where("error IS NULL")
     first = good.groupBy("prefix").agg(F.min("file").alias("reference"))
-    wanted = good.join(F.broadcast(first), "prefix").where(F.col("file") == F.col("reference")).select("prefix", "column", F.col("type").alias("want"))
+    wanted = good.join(first, "prefix").where(F.col("file") == F.col("reference")).select("prefix", "column", F.col("type").alias("want"))
     files = good.select("prefix", "file").distinct()
     whole = files.join(wanted, "prefix").join(good.select("file", "column", "type"), ["file", "column"], "full_outer")
     status = F.when(F.col("want").isNull(), "extra").when(F.col("type").isNull(), "missing").when(F.col("want") != F.col("type"), "dtype_mismatch").otherwise("same")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,13 +53,21 @@ def kafka_json(spark: SparkSession, servers: str, topic: str, schema: str, event
     return rows.select("v.*", F.coalesce(F.try_to_timestamp(F.col(f"v.{event_time}")), F.col("timestamp")).alias("ts"))
 
 
-def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
+def side_by_side(probe: Callable[[str], object], paths: Sequence[str], at_once: int = 16) -> list:
+    """probe of each path, in their order, so many at a time: footers are small, what takes time is the waiting."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(probe, paths))
+
+
+def row_groups(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file, row_groups, rows of Parquet files, from their footers alone."""
-    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for path in paths:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def probe(path: str) -> tuple[str, int, int]:
         reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
         try:
-            out.append((path, reader.getRowGroups().size(), reader.getRecordCount()))
+            return path, reader.getRowGroups().size(), reader.getRecordCount()
         finally:
             reader.close()
-    return spark.createDataFrame(out, "file string, row_groups int, rows long")
+
+    return spark.createDataFrame(side_by_side(probe, paths), "file string, row_groups int, rows long")

@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from larkspur.functions.numbers import clean
 from larkspur.operators.aggregates import window_stats
+from larkspur.sources.sinks import as_json
 
 
-def replay(spark: SparkSession, path: str, schema: Any, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files as a stream, in the order of their modification times."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def replay(spark: SparkSession, path: str, schema: Any, files_per_trigger: int = 1, form: str = "parquet") -> DataFrame:
+    """Files as a stream, in the order of their modification times."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(form).load(path)
 
 
 def event_time(rows: DataFrame, text: str, fallback: str | None = None, drop: bool = True) -> DataFrame:
@@ -45,9 +48,13 @@ def by_groups(rows: DataFrame, groups: dict[str, str]) -> DataFrame:
     return out.where(F.col("group_value").isNotNull() & (F.col("group_value") != ""))
 
 
-def to_files(stream: DataFrame, path: str, checkpoint: str, form: str = "json") -> StreamingQuery:
-    """Appends what there is, exactly once, and ends."""
-    return stream.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def to_files(stream: DataFrame, path: str, checkpoint: str, form: str = "json", every: str | None = None) -> StreamingQuery:
+    """Appends what there is, exactly once, and ends; with every ("2 seconds") it goes on, a batch at that pace.
+
+    The checkpoint is what the stream has read: the same one resumes there, a fresh one begins anew.
+    """
+    writer = stream.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -64,23 +71,25 @@ def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class OnlineKMeans:
-    """Centres that move with each point: the first k points are centres; then the nearest (the lowest id of equals) takes the mean."""
-
-    def __init__(self, k: int, centres: Sequence[Sequence[float]] = (), counts: Sequence[int] = ()):
-        self.k, self.centres, self.counts = k, [list(c) for c in centres], list(counts)
+def follow(points: np.ndarray, centres: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cluster and distance of each point, taken in turn, and the centres and counts after them.
 
-    def add(self, point: Sequence[float]) -> tuple[int, float]:
-        """The point's cluster and its distance to the centre before that moves."""
-        if len(self.centres) < self.k:
-            self.centres.append(list(point))
-            self.counts.append(1)
-            return len(self.centres) - 1, 0.0
-        distances = [sum((a - b) ** 2 for a, b in zip(c, point)) ** 0.5 for c in self.centres]
-        best = min(range(self.k), key=lambda i: (distances[i], i))
-        self.counts[best] += 1
-        self.centres[best] = [c + (p - c) / self.counts[best] for c, p in zip(self.centres[best], point)]
-        return best, distances[best]
+    While there are fewer than k centres, points become some (distance 0). Afterwards the nearest centre (of equals the
+    one with the lowest number) takes the point and moves by its share of the gap; distances are those before it moves.
+    """
+    seeds = max(0, min(k - len(centres), len(points)))
+    ids, distances = np.zeros(len(points), np.int64), np.zeros(len(points))
+    ids[:seeds] = np.arange(len(centres), len(centres) + seeds)
+    centres = np.concatenate([centres.reshape(-1, points.shape[1]), points[:seeds]]).astype(float)
+    counts = np.concatenate([counts, np.ones(seeds, np.int64)]).astype(np.int64)
+    for i in range(seeds, len(points)):
+        gaps = points[i] - centres
+        square = (gaps * gaps).sum(axis=1)
+        ids[i] = at = int(square.argmin())
+        distances[i] = square[at] ** 0.5
+        counts[at] += 1
+        centres[at] += gaps[at] / counts[at]
+    return ids, distances, centres, counts
 
 
 def _points(rows: DataFrame, features: dict[str, float], order: Sequence[str], keep: Sequence[str], group: str) -> DataFrame:
@@ -91,90 +100,179 @@ def _points(rows: DataFrame, features: dict[str, float], order: Sequence[str], k
 
 
 class _Groups:
-    """The model of the group at hand, as rows come group by group."""
+    """The centres of the group at hand, as batches of sorted rows come."""
 
     def __init__(self, k: int, n: int, group: str):
-        self.k, self.n, self.group, self.now, self.model = k, n, group, None, OnlineKMeans(k)
+        self.k, self.n, self.group = k, n, group
+        self._begin(None)
+
+    def _begin(self, name: object) -> None:
+        self.now, self.centres, self.counts = name, np.zeros((0, self.n)), np.zeros(0, np.int64)
 
-    def begins(self, row: Any) -> bool:
-        """Whether row is the first of its group; the model is a new one then."""
-        name = getattr(row, self.group)
-        if name == self.now:
-            return False
-        self.now, self.model = name, OnlineKMeans(self.k)
-        return True
+    def stretches(self, batch: pa.RecordBatch) -> Iterator[tuple[object, bool, np.ndarray]]:
+        """The batch's groups in turn: name, whether the group begins here, points."""
+        names = batch[self.group].to_pylist()
+        points = np.column_stack([batch[f"feature_{i}"].to_numpy(zero_copy_only=False) for i in range(self.n)]) if names else np.zeros((0, self.n))
+        edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+        for a, b in zip(edges, edges[1:]):
+            yield names[a], names[a] != self.now, points[a:b]
 
-    def add(self, row: Any) -> tuple[int, float]:
-        return self.model.add([getattr(row, f"feature_{i}") for i in range(self.n)])
+    def take(self, name: object, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if name != self.now:
+            self._begin(name)
+        ids, distances, self.centres, self.counts = follow(points, self.centres, self.counts, self.k)
+        return ids, distances
 
 
-def online_kmeans(rows: DataFrame, k: int, features: dict[str, float], order: Sequence[str], keep: Sequence[str], group: str) -> DataFrame:
-    """keep, cluster_id and cluster_distance of each row, by group: each group has centres of its own.
+def online_kmeans(rows: DataFrame, k: int, features: dict[str, float], order: Sequence[str], keep: Sequence[str], group: str | None = None) -> DataFrame:
+    """group, keep, cluster_id and cluster_distance of each row: each group has centres of its own, without group all rows
+    share theirs.
 
     features maps columns to the numbers they are divided by. Points of a group are taken one by one in the given order,
-    in bounded batches from a sorted shuffle; the algorithm is sequential, so groups are what runs side by side.
+    in bounded batches from a sorted shuffle. The algorithm is sequential: groups are what runs side by side, and a
+    group, however large, is one task's; nearest_centres() and moved_centres() are the parallel form.
     """
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [group, *keep])
+    own = group or "_all"
+    rows = rows if group else rows.withColumn(own, F.lit("all"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [own, *keep]) + ", cluster_id long, cluster_distance double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = _Groups(k, len(features), group)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _Groups(k, len(features), own)
         for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                groups.begins(row)
-                found.append(groups.add(row))
-            out = batch[[group, *keep]].copy()
-            out["cluster_id"] = pd.array([f[0] for f in found], dtype="int64")
-            out["cluster_distance"] = pd.array([f[1] for f in found], dtype="float64")
-            yield out
+            found = [groups.take(name, points) for name, _, points in groups.stretches(batch)]
+            ids, distances = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in [own, *keep]], pa.array(ids.astype(np.int64)), pa.array(distances.astype(float))], names=[own, *keep, "cluster_id", "cluster_distance"])
 
-    return _points(rows, features, order, keep, group).mapInPandas(run, f"{fields}, cluster_id long, cluster_distance double")
+    out = _points(rows, features, order, keep, own).mapInArrow(run, schema)
+    return out if group else out.drop(own)
 
 
 def kmeans_snapshots(rows: DataFrame, k: int, features: dict[str, float], order: Sequence[str], group: str, every: int = 1000) -> DataFrame:
     """group, event_count, cluster_id, count and the features' centres (unscaled, four places), after each `every` events and the last."""
-    names = list(features)
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, event_count long, cluster_id long, count long, " + ", ".join(f"{c} double" for c in names)
+    names, scales = list(features), np.array(list(features.values()), float)
+    columns = [group, "event_count", "cluster_id", "count", *names]
+    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, event_count long, cluster_id long, count long, " + ", ".join(f"`{c}` double" for c in names)
+    types = [None, pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * len(names)]
+
+    def shown(groups: _Groups) -> list[tuple]:
+        return [(groups.now, int(groups.counts.sum()), i, int(groups.counts[i]), *(float(round(x, 4)) for x in c * scales)) for i, c in enumerate(groups.centres)]
 
-    def shown(name: object, model: OnlineKMeans) -> list[tuple]:
-        return [(name, sum(model.counts), i, model.counts[i], *[round(x * s, 4) for x, s in zip(c, features.values())]) for i, c in enumerate(model.centres)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, kind = _Groups(k, len(names), group), None
+        left = lambda: int(groups.counts.sum()) % every  # noqa: E731  events since the last snapshot
+
+        def table(rows_: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows_)) if rows_ else [()] * len(columns)
+            return pa.RecordBatch.from_arrays([pa.array(c, t or kind) for c, t in zip(cols, types)], names=columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, groups = [group, "event_count", "cluster_id", "count", *names], _Groups(k, len(names), group)
-        unseen = lambda: sum(groups.model.counts) % every != 0  # noqa: E731  events since the last snapshot
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                name, model, more = groups.now, groups.model, unseen()
-                if groups.begins(row) and more:
-                    out += shown(name, model)
-                groups.add(row)
-                if not unseen():
-                    out += shown(groups.now, groups.model)
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        if unseen():
-            yield pd.DataFrame(shown(groups.now, groups.model), columns=columns)
-
-    return _points(rows, features, order, [], group).mapInPandas(run, schema)
-
-
-def stream_kmeans(rows: DataFrame, k: int, features: dict[str, float], group: str, key: str) -> DataFrame:
-    """The same on a stream, with centres as state by group: key, cluster_id and cluster_distance, and snapshots in centres.
-
-    Points of a micro-batch are taken in the order of key.
+            out, kind = [], batch.schema.field(group).type
+            for name, begins, points in groups.stretches(batch):
+                if begins and left():
+                    out += shown(groups)
+                at = 0
+                while at < len(points):
+                    most = every - (0 if begins and at == 0 else left())
+                    groups.take(name, points[at : at + most])
+                    at += most
+                    if not left():
+                        out += shown(groups)
+            yield table(out)
+        if left():
+            yield table(shown(groups))
+
+    return _points(rows, features, order, [], group).mapInArrow(run, schema)
+
+
+def nearest_centres(rows: DataFrame, centres: Sequence[Sequence[float]], features: dict[str, float]) -> DataFrame:
+    """rows with cluster_id and cluster_distance by given centres (of scaled features), of equals the lowest number.
+
+    Expressions alone: any number of rows and tasks, on a batch or a stream.
     """
-    names = list(features)
-    out = f"{group} string, {key} long, cluster_id long, cluster_distance double, centres string"
+    scaled = [clean(F.col(c)) / s for c, s in features.items()]
+    far = [F.sqrt(sum(((x - float(v)) * (x - float(v)) for x, v in zip(scaled, centre)), F.lit(0.0))) for centre in centres]
+    best = F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).cast("long").alias("id")) for i, d in enumerate(far)]))
+    return rows.withColumn("_best", best).select(*rows.columns, F.col("_best.id").alias("cluster_id"), F.col("_best.distance").alias("cluster_distance"))
+
+
+def moved_centres(assigned: DataFrame, features: dict[str, float], *keys: str) -> DataFrame:
+    """keys, cluster_id, count and the mean of each feature (unscaled): one aggregation, the step of a batch of points."""
+    return assigned.groupBy(*keys, "cluster_id").agg(F.count("*").alias("count"), *[F.avg(clean(F.col(c))).alias(c) for c in features])
 
-    def run(group_key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+
+def stream_kmeans(rows: DataFrame, k: int, features: dict[str, float], key: str, keep: Sequence[str] = (), group: str | None = None, every: int = 1000) -> DataFrame:
+    """The same on a stream, with centres as state: kind, cluster_id, cluster_distance, key, keep, and event_count, count, centre.
+
+    Rows of kind point are the events, one for one. Those of kind centre are snapshots, one a cluster, in the first
+    batch after each `every` events; their centre is unscaled, four places. Points of a micro-batch are taken in the
+    order of key; maxFilesPerTrigger bounds what a group holds of it at a time.
+    """
+    names, own, scales = list(features), group or "_all", np.array(list(features.values()), float)
+    rows = rows if group else rows.withColumn(own, F.lit("all"))
+    kept = [c for c in keep if c not in names]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [key, *kept]}
+    columns = ["kind", own, "cluster_id", "cluster_distance", *kinds, *names, "event_count", "count", "centre"]
+    schema = f"kind string, `{own}` string, cluster_id long, cluster_distance double, " + ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + "".join(f", `{c}` double" for c in names) + ", event_count long, count long, centre array<double>"
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         centres, counts = state.get if state.exists else ([], [])
-        model = OnlineKMeans(k, [list(c) for c in centres], list(counts))
-        rows_ = pd.concat(list(batches)).sort_values(key)
-        found = [model.add([getattr(r, n) / features[n] for n in names]) for r in rows_.itertuples(index=False)]
-        state.update(([list(map(float, c)) for c in model.centres], list(map(int, model.counts))))
-        shown = str([[round(x * s, 4) for x, s in zip(c, features.values())] for c in model.centres])
-        yield pd.DataFrame({group: [str(group_key[0])] * len(rows_), key: rows_[key].astype("int64").to_list(), "cluster_id": [f[0] for f in found], "cluster_distance": [f[1] for f in found], "centres": [shown] * len(rows_)})
-
-    cleaned = rows.select(group, key, *[clean(F.col(n)).alias(n) for n in names])
-    return cleaned.groupBy(group).applyInPandasWithState(run, out, "centres array<array<double>>, counts array<long>", "append", "NoTimeout")
+        centres, counts = np.array(centres, float).reshape(-1, len(names)), np.array(counts, np.int64)
+        events = pd.concat(list(batches)).sort_values(key)
+        before = int(counts.sum()) // every
+        ids, distances, centres, counts = follow(events[names].to_numpy(float) / scales, centres, counts, k)
+        state.update((centres.tolist(), counts.tolist()))
+        out = events.assign(kind="point", cluster_id=ids, cluster_distance=distances.round(6), event_count=None, count=None, centre=None)
+        out[own] = str(name[0])
+        yield out[columns]
+        if int(counts.sum()) // every > before:
+            shots = pd.DataFrame({"kind": "centre", own: str(name[0]), "cluster_id": range(len(counts)), "event_count": int(counts.sum()), "count": counts, "centre": (centres * scales).round(4).tolist()})
+            yield shots.reindex(columns=columns)
+
+    cleaned = rows.select(own, key, *kept, *[clean(F.col(n)).alias(n) for n in names])
+    out = cleaned.groupBy(own).applyInPandasWithState(run, schema, "centres array<array<double>>, counts array<long>", "append", "NoTimeout")
+    return out if group else out.drop(own)
+
+
+def ordered_messages(rows: DataFrame, path: str, key: str, order: Sequence[str], files: int, last: str | None = None) -> None:
+    """Rows as keyed JSON messages in `files` files whose names and times ascend in the rows' order, for replay(..., MESSAGES).
+
+    A stream takes files by their times, which tasks that write side by side would mix up, so they are set afterwards;
+    the file system must allow that, as local ones and HDFS do. With last, the name of the timestamp, one more message without key and far in the future ends the stream: when it
+    has come, the watermark has passed all windows, so none stays open.
+    """
+    numbered = messages(rows, key, order)
+    numbered.repartitionByRange(files, "place").sortWithinPartitions("place").write.mode("overwrite").json(path)
+    in_order = sorted(_files(rows.sparkSession, path))
+    if last:
+        end = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("key"), F.to_json(F.struct(F.lit("2999-01-01T00:00:00").alias(last))).alias("value"))
+        end.coalesce(1).write.mode("append").json(path)
+    every = _files(rows.sparkSession, path)
+    start = min(t for t, _ in every.values())
+    for i, name in enumerate([*in_order, *sorted(set(every) - set(in_order))]):
+        system, file = _hadoop(rows.sparkSession, f"{path}/{name}")
+        system.setTimes(file, start + 1000 * i, -1)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Time and size of the data files of a folder, by name."""
+    system, folder = _hadoop(spark, path)
+    return {f.getPath().getName(): (f.getModificationTime(), f.getLen()) for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")}
+
+
+#: The schema of replayed messages.
+MESSAGES = "key string, value string"
+
+
+def messages(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """place (what the rows are ordered by, as one value), key and value."""
+    return rows.select(F.struct(*order).alias("place"), F.col(key).cast("string").alias("key"), as_json(rows).alias("value"))
+
+
+def opened(stream: DataFrame, schema: str) -> DataFrame:
+    """The messages' values as columns, with their key."""
+    return stream.select(F.from_json("value", schema).alias("v"), "key").select("v.*", "key")

@@ -144,20 +144,63 @@ def test_models_learn(spark):
     assert demand.evaluate(demand.predict_sgd(rows, sgd, ["a", "b"])).first().r2 > 0.8
 
 
-def test_registered_forecast_has_all_rounds(monkeypatch):
-    import inspect
-
+def test_registered_forecasts_have_all_rounds(spark, monkeypatch):
+    """200 rounds for the model of all services, 150 for each service's and for the one without added features."""
     from larkspur.plans import enrichment
 
-    class Stop(Exception):
-        pass
+    asked, fit = [], demand.fit_boosted
+    monkeypatch.setattr(enrichment, "_MADE", {})
+    monkeypatch.setattr(demand, "fit_boosted", lambda rows, names, rounds: asked.append(rounds) or fit(rows, names, rounds=2))
+    labels = {r.label for r in enrichment.model_comparison(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(asked) == [150] * 6 + [200] and {"unified", "separate", "base"} < labels and len(labels) == 8
+    assert enrichment.gbt_forecast(spark, "/root/testdata/sf0.001").count() == 1 and len(asked) == 7
+    names = [r.feature for r in enrichment.feature_importances(spark, "/root/testdata/sf0.001").collect()]
+    assert set(names) == {*enrichment._INPUTS, "_code"}
+
+
+def test_separate_models_are_joined_again(spark):
+    """Metrics of all services' own models together are those of their predictions together."""
+    rows = spark.range(300).selectExpr("cast(id % 20 as double) AS a", "CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END AS service", "cast(id % 20 + id % 3 as double) / 10 AS target")
+    fit = lambda some, names, rounds: demand.fit_linear(some, names)
+    found = {r.label: r for r in demand.compare(rows, rows, "service", ["x", "y", "none"], ["a"], [], fit).collect()}
+    assert set(found) == {"unified", "base", "only x", "only y", "separate"} and found["separate"].n == 300 == found["unified"].n
+    assert abs(found["separate"].mae * 300 - sum(found[f"only {s}"].mae * found[f"only {s}"].n for s in "xy")) < 1e-6
+    assert found["separate"].rmse < found["unified"].rmse < found["base"].rmse
+
+
+def test_exact_quantiles_in_ranges(spark):
+    """Against a sort of each key's values; one key has most rows, nulls and ties among them."""
+    import random
+
+    import numpy as np
+
+    from larkspur.operators.aggregates import exact_quantiles
+
+    draw = random.Random(3)
+    rows = [("hot" if i % 10 else f"k{i % 50}", None if i % 17 == 0 else float(draw.randrange(200))) for i in range(3000)] + [("one", 4.0), ("none", None)]
+    found = {r.k: (r.a, r.b) for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"a": 0.25, "b": 0.9}).collect()}
+    for k in {k for k, _ in rows} - {"none"}:
+        values = [v for x, v in rows if x == k and v is not None]
+        assert np.allclose(found[k], np.quantile(values, [0.25, 0.9]))
+    assert "none" not in found
+
+
+def test_wide_lookups_are_not_broadcast(spark, monkeypatch):
+    from larkspur.operators import enrich
+
+    side = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k int, v string")
+    plan = lambda: enrich.look_up(spark.range(9).selectExpr("cast(id as int) AS k2"), side, {"k2": "k"})._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(enrich, "MOST_BYTES", 1000)
+    assert "broadcast" not in plan()
+
+
+def test_text_and_time_expressions(spark):
+    from larkspur.functions import dates, texts
+
+    row = spark.createDataFrame([("a b/c" * 20, dt.datetime(2024, 3, 1, 7, 5, 9, 123456))], "t string, ts timestamp_ntz").select(
+        texts.label(F.col("t")).alias("l"), texts.year_month(F.col("ts")).alias("m"), texts.padded(F.lit(7), 3).alias("p"), texts.found(F.col("t"), "(z)").alias("f"),
+        dates.iso(F.col("ts")).alias("i"), dates.epoch_ms(F.col("ts")).alias("e"), dates.now_iso().alias("n")).first()
+    assert len(row.l) == 60 and row.l.startswith("a_b_ca") and (row.m, row.p, row.f, row.i, row.e) == ("2024-03", "007", "", "2024-03-01T07:05:09", 1709276709123) and len(row.n) == 19
 
-    def seen(*given, fit=inspect.signature(demand.fit_boosted), **named):
-        bound = fit.bind(*given, **named)
-        bound.apply_defaults()
-        raise Stop(bound.arguments["rounds"])
 
-    monkeypatch.setattr(enrichment, "_halves", lambda spark, sf: (None, None))
-    monkeypatch.setattr(demand, "fit_boosted", seen)
-    with pytest.raises(Stop, match="^200$"):
-        enrichment.gbt_forecast(None, "")

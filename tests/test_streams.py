@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.streaming import windows
@@ -70,24 +71,49 @@ def test_fan_out(spark, tmp_path):
 POINTS = [0.0, 10.0, 5.0, 1.0, 9.0, 4.0]
 
 
-def test_kmeans_by_hand():
-    model = windows.OnlineKMeans(2)
-    found = [model.add([p]) for p in POINTS]
-    assert found[:2] == [(0, 0.0), (1, 0.0)] and found[2] == (0, 5.0)  # a tie goes to the lowest id
-    assert model.counts == [4, 2] and model.centres == [[2.5], [9.5]]
+def test_centres_by_hand():
+    points = np.array(POINTS)[:, None]
+    ids, distances, centres, counts = windows.follow(points, np.zeros((0, 1)), np.zeros(0, np.int64), 2)
+    assert ids.tolist() == [0, 1, 0, 0, 1, 0] and distances[:3].tolist() == [0.0, 0.0, 5.0]  # a tie goes to the lowest id
+    assert counts.tolist() == [4, 2] and centres.tolist() == [[2.5], [9.5]]
+    for cut in range(len(POINTS)):  # in two calls, wherever the first ends
+        a = windows.follow(points[:cut], np.zeros((0, 1)), np.zeros(0, np.int64), 2)
+        b = windows.follow(points[cut:], a[2], a[3], 2)
+        assert [*a[0], *b[0]] == ids.tolist() and b[2].tolist() == centres.tolist()
 
 
 def test_kmeans_of_batch_and_stream_agree(spark, tmp_path):
     rows = [_at(i, k, p, i) for i, p in enumerate(POINTS) for k in "ab"]
     batch = windows.online_kmeans(spark.createDataFrame(rows, SCHEMA), 2, {"value": 1.0}, ["ts"], ["id"], "kind")
-    want = sorted((r.kind, r.id, r.cluster_id, r.cluster_distance) for r in batch.collect())
+    want = sorted((r.kind, r.id, r.cluster_id, round(r.cluster_distance, 6)) for r in batch.collect())
     assert [w[2] for w in want if w[0] == "a"] == [0, 1, 0, 0, 1, 0]
     for i in range(0, len(rows), 4):
         _write(spark, tmp_path / "in", rows[i : i + 4], f"{i:02}")
-    stream = windows.stream_kmeans(windows.replay(spark, str(tmp_path / "in" / "*"), SCHEMA), 2, {"value": 1.0}, "kind", "id")
+    events = windows.replay(spark, str(tmp_path / "in" / "*"), SCHEMA).withColumnRenamed("kind", "type")
+    stream = windows.stream_kmeans(events, 2, {"value": 1.0}, "id", ["ts"], "type", every=4)
     windows.to_files(stream, str(tmp_path / "out"), str(tmp_path / "c"), "parquet").awaitTermination()
-    found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).where(F.col("centres").isNotNull())
-    assert sorted((r.kind, r.id, r.cluster_id, r.cluster_distance) for r in found.collect()) == want
+    found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert sorted((r.type, r.id, r.cluster_id, r.cluster_distance) for r in found.where("kind = 'point'").collect()) == want
+    shots = sorted((r.type, r.event_count, r.cluster_id, r["count"], r.centre) for r in found.where("kind = 'centre'").collect())
+    assert shots == [(k, 4, i, n, [c]) for k in "ab" for i, n, c in ((0, 3, 2.0), (1, 1, 10.0))]
+
+
+def test_one_model_for_all(spark):
+    rows = spark.createDataFrame([_at(i, "ab"[i % 2], p, i) for i, p in enumerate(POINTS)], SCHEMA)
+    found = windows.online_kmeans(rows, 2, {"value": 1.0}, ["ts"], ["id"])
+    assert [r.cluster_id for r in found.orderBy("id").collect()] == [0, 1, 0, 0, 1, 0] and found.columns == ["id", "cluster_id", "cluster_distance"]
+
+
+def test_same_checkpoint_resumes(spark, tmp_path):
+    """A second run reads what is new; a fresh checkpoint reads all."""
+    _write(spark, tmp_path / "in", [_at(0), _at(1)], "0")
+    run = lambda c, out: windows.to_files(windows.replay(spark, str(tmp_path / "in" / "*"), SCHEMA), str(tmp_path / out), str(tmp_path / c), "parquet").awaitTermination()
+    count = lambda out: spark.read.parquet(str(tmp_path / out)).count()
+    run("c", "out")
+    _write(spark, tmp_path / "in", [_at(2)], "1")
+    run("c", "out")
+    run("fresh", "other")
+    assert count("out") == 3 and count("other") == 3
 
 
 def test_snapshots(spark):
