@@ -178,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, room:
 
     A document is its ids and end_id; null and empty texts are end_id alone. Only documents of over room tokens are
     cut, in pieces of room tokens after a first piece that may be shorter. Repeated rows are packed each on its own;
-    an empty table gives no rows. Pieces are written once, since their ranks must not change afterwards. The
+    null doc_ids stay null; other columns stay behind, whatever their names; an empty table gives no rows. Pieces are written once, since their ranks must not change afterwards. The
     driver sees the histogram of lengths (room rows at most) and packs that; a piece's place follows from its rank
     among the pieces of its length, counted by task and summed over the tasks before.
     """

@@ -71,7 +71,10 @@ def _add_contexts(totals: np.ndarray, bodies: list[bytes], index_vectors: list[t
 
 
 def word_vectors(plain: DataFrame) -> np.ndarray:
-    """Vectors of all slots, from all rows. A task sends its sums once, in BLOCKS rows; the whole is 4 MB at any size."""
+    """Vectors of all slots, from all rows. A task sends its sums once, in BLOCKS rows; the whole is 4 MB at any size.
+
+    The sums are of ones and minus ones, so they are whole numbers, and the order in which they meet changes nothing.
+    """
     each = 2 * SLOTS * WIDTH // BLOCKS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,7 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, 4 * TEXTS):
                 _add_contexts(totals, [b or b"" for b in batch["body"].slice(at, 4 * TEXTS).to_pylist()], index_vectors)
         total = totals.reshape(-1)
-        blobs = [total[i * each : (i + 1) * each].astype("<f4").tobytes() for i in range(BLOCKS)]
+        blobs = [total[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(BLOCKS)]
         few = TaskContext.get().partitionId() // 64
         yield pa.RecordBatch.from_arrays([pa.array([few] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["few", "block", "sums"])
 
@@ -90,18 +93,18 @@ def word_vectors(plain: DataFrame) -> np.ndarray:
         return trimmed(sums(batches))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, few, block = np.zeros(each), 0, 0
+        total, few, block = np.zeros(each, np.int64), 0, 0
         for batch in batches:
             few, block = batch["few"][0].as_py(), batch["block"][0].as_py()
             for blob in batch["sums"].to_pylist():
-                total += np.frombuffer(blob, "<f4")
-        yield pa.RecordBatch.from_arrays([pa.array([few], pa.int32()), pa.array([block], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["few", "block", "sums"])
+                total += np.frombuffer(blob, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([few], pa.int32()), pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["few", "block", "sums"])
 
     kind = "few int, block int, sums binary"
     found = plain.mapInArrow(lean, kind).groupBy("few", "block").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()  # BLOCKS rows
     whole = np.zeros((BLOCKS, each))
     for row in found:
-        whole[row["block"]] = np.frombuffer(row["sums"], "<f4")
+        whole[row["block"]] = np.frombuffer(row["sums"], "<i8")
     whole = whole.reshape(2 * SLOTS, WIDTH)
     whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-9)
     return (whole - whole.mean(axis=0)).astype(np.float32)
@@ -227,7 +230,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """doc_id, held_out, score, predicted, one row per row of docs: see quality_model().
 
     Without labels of both classes the score is their mean, or 0.5 without any. Null texts score as empty ones: their
-    pooled vector is zero. An empty table gives no rows. Texts are read for the vectors, for the sample and for the
+    pooled vector is zero. Null doc_ids aren't held out and have no label. Repeated rows and equal texts score alike,
+    each row on its own; texts of any length are read whole. Columns other than the two named stay behind, in labels
+    too, whatever their names. An empty table gives no rows. Texts are read for the vectors, for the sample and for the
     scores, and never shuffled.
     """
     out = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), quality_model(docs, labels, id_col, text_col, label_col, sample))

@@ -105,21 +105,24 @@ def posterior(patterns: np.ndarray, share: float, rates: np.ndarray) -> np.ndarr
 
 
 def quality_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, the figures in NAMES, a column for each vote, base_failed, quality (posterior probability), kept.
+    """doc_id, the figures in NAMES, a column for each vote, base_failed, posterior (probability of good), kept.
 
     base_failed: under 10 words, or over 20 % of the words repeat in 5-word windows; such rows are never kept. The
     others are kept if their posterior reaches threshold. Votes of all rows enter the estimate, as counts of vote
     patterns (at most three to the power of the number of rules), so one row for each reaches the driver.
 
-    Null and empty texts fail the base. An empty table gives no rows. The figures are written once and read twice.
+    Null and empty texts fail the base; texts of any length are read whole; null doc_ids stay null. Repeated rows count
+    and are judged each on its own, and equal texts alike; a posterior at the threshold is kept. Columns other than the
+    two named stay behind, whatever their names. An empty table gives no rows. The figures are written once and read
+    twice.
     """
     rules = votes()
     rows = cut(measured(docs, id_col, text_col).withColumns(rules))
     found = rows.groupBy(*rules).count().collect()
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     if not found:
-        return rows.withColumns({"quality": F.lit(0.0), "kept": F.lit(False)})
+        return rows.withColumns({"posterior": F.lit(0.0), "kept": F.lit(False)})
     patterns = np.array([r[:-1] for r in found], int)
-    quality = posterior(patterns, *weigh(patterns, np.array([r["count"] for r in found], float)))
-    known = docs.sparkSession.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, quality)], ", ".join(f"{n} int" for n in rules) + ", quality double")
-    return rows.join(F.broadcast(known), list(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    chances = posterior(patterns, *weigh(patterns, np.array([r["count"] for r in found], float)))
+    known = docs.sparkSession.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, chances)], ", ".join(f"{n} int" for n in rules) + ", posterior double")
+    return rows.join(F.broadcast(known), list(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

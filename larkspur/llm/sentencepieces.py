@@ -246,7 +246,9 @@ def piece_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """doc_id, ids (array), decoded, one row per row of docs.
 
     Exactly the library's ids, without begin or end, and its decode() of them. Null and empty texts have no ids and
-    decode to ''. Nothing is shuffled; a worker holds one batch of texts and caches of bounded size.
+    decode to ''; null doc_ids stay null. Texts of any length are encoded whole. Repeated rows give a row each, equal
+    texts equal ids. Columns other than the two named stay behind, whatever their names; an empty table gives no rows.
+    Nothing is shuffled; a worker holds one batch of texts and caches of bounded size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +262,10 @@ def piece_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: piece_tokens() as digests, made without building the arrays."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: piece_tokens() as digests, made without building the arrays.
+
+    Nulls, empty and long texts, repeated rows, other columns and empty tables as there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)

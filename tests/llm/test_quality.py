@@ -36,6 +36,63 @@ def test_rules(spark, docs, odd):
     assert quality_votes(docs([])).count() == 0
 
 
+def slow_votes(text):
+    """The six votes of one text: 0 bad, 1 abstains, 2 good."""
+    words = WORD.findall(text)
+    n, chars = len(words), sum(map(len, words))
+    _, _, symbols, again, _ = slow_measure(text)
+    rows = [x for x in text.split("\n") if WORD.search(x)]
+    upper = sum("A" <= c <= "Z" for c in text)
+    letters = upper + sum(1 if "a" <= c <= "z" else len(c.encode()) if ord(c) > 127 else 0 for c in text)
+    ended = sum(x.rstrip(" \t\n\x0b\x0c\r")[-1] in ".!?" for x in rows)
+    return (
+        0 if 2 * chars < 5 * n or chars > 13 * n else 1,
+        0 if 10 * symbols > n else 2 if 50 * symbols <= n else 1,
+        0 if 2 * again > len(rows) else 1,
+        0 if 2 * upper > letters else 1,
+        0 if 2 * letters < chars else 1,
+        0 if ended == 0 and len(rows) > 2 else 2 if 2 * ended >= len(rows) else 1,
+    )
+
+
+def slow_estimate(all_votes, rounds=40, trust=0.05):
+    """Expectation-maximisation one text at a time: the posterior of each."""
+    good = [0.1 if 0 in v else 0.9 for v in all_votes]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(good) + 2)
+        rates = []
+        for weight in ([1 - g for g in good], good):
+            total = sum(weight)
+            rates.append([[(sum(w for w, v in zip(weight, all_votes) if v[k] == x) + 0.5) / (total + 1.5) for x in range(3)] for k in range(6)])
+        for k in range(6):
+            rates[1][k][0] = min(rates[1][k][0], trust * rates[0][k][0])
+            rates[0][k][2] = min(rates[0][k][2], rates[1][k][2])
+            for r in rates:
+                r[k][1] = 1 - r[k][0] - r[k][2]
+        for i, v in enumerate(all_votes):
+            one, none = share, 1 - share
+            for k in range(6):
+                one, none = one * rates[1][k][v[k]], none * rates[0][k][v[k]]
+            good[i] = one / (one + none)
+    return good
+
+
+def test_votes_posterior_and_kept_against_brute_force(spark, docs, odd):
+    """Every text on its own, no patterns and no arrays; whole documents with odd rows and repeated ones among them."""
+    given = odd + [(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(5000, "#### $$$$ %%%% " * 9), (5001, "A B C D E F G H I J K L"), (5002, "one\ntwo\nthree\nfour\nfive six seven eight nine ten")]
+    names = ["v_word_size", "v_symbols", "v_lines", "v_capitals", "v_letters", "v_ended"]
+    every = [slow_votes(t or "") for _, t in given]
+    chances = slow_estimate(every)
+    want = []
+    for (i, t), v, p in zip(given, every, chances):
+        n, _, _, _, repeat = slow_measure(t or "")
+        failed = n < 10 or 100 * repeat > 20 * n
+        want.append((repr(i), v, round(p, 9), failed, not failed and p >= 0.5))
+    rows = quality_votes(docs(given)).collect()
+    assert sorted((repr(r.doc_id), tuple(r[c] for c in names), round(r.posterior, 9), r.base_failed, r.kept) for r in rows) == sorted(want)
+    assert len({w[4] for w in want}) == 2 and len(set(every)) > 8
+
+
 def test_rules_part_good_and_bad(spark):
     rows = quality_votes(spark.read.parquet(f"{SF}/documents.parquet")).join(spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id").collect()
     judged = [r for r in rows if not r.base_failed]
@@ -69,6 +126,13 @@ def test_held_out_labels_are_never_learnt(spark):
     assert one == two
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """Sums of whole numbers: the same bits whatever the number of tasks."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    one, two = ({r.doc_id: r.score for r in score_quality(docs.repartition(n), labels).collect()} for n in (1, 7))
+    assert one == two
+
+
 def test_odd_rows_and_labels(spark, docs, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (8, None), (None, 1), (999, 1), (10, 0), (11, 1)], "doc_id long, quality int")
     rows = score_quality(docs(odd), labels).collect()
