@@ -33,10 +33,11 @@ def changed(draw, text, times):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_against_brute_force(spark, docs, odd, monkeypatch, small):
-    """Small bands reach the path of large ones, where the pairs with the least member don't connect all."""
+@pytest.mark.parametrize("small,block", [(16, 2048), (2, 2048), (2, 5)])
+def test_against_brute_force(spark, docs, odd, monkeypatch, small, block):
+    """Small bands reach the path of large ones, where the pairs with the least member don't connect all; in blocks too."""
     monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     draw = random.Random(small)
     base = [" ".join(f"w{draw.randrange(500)}" for _ in range(draw.choice([12, 60, 200]))) for _ in range(12)]
     given = odd + [(100 + i, changed(draw, t := draw.choice(base), draw.randrange(1 + len(t.split()) // 30))) for i in range(150)]
