@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Lists that own_path() adds to, one for each temporary() that is open.
+_WATCHED: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +35,10 @@ def own_dir(spark: SparkSession) -> str:
 
 def own_path(spark: SparkSession, name: str) -> str:
     """A path that nothing else has."""
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _WATCHED:
+        paths.append(path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -39,6 +46,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """At its end, all paths that own_path() gave out within are removed: what is to stay must be written elsewhere."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield
+    finally:
+        _WATCHED[:] = [x for x in _WATCHED if x is not paths]
+        for path in paths:
+            remove_path(spark, path)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, computed once, written to the shared folder and read from there; lost executors don't matter."""
     path = own_path(df.sparkSession, name)

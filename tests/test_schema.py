@@ -110,3 +110,27 @@ def test_row_groups_and_reset(spark, tmp_path):
     assert tables.row_groups(spark, files).first()["rows"] == 100
     sinks.reset(spark, str(tmp_path / "p"))
     assert not (tmp_path / "p").exists()
+
+
+def test_temporary_paths_go(spark):
+    from larkspur.sources.shared import own_path, temporary, written
+
+    stays = own_path(spark, "stays")
+    with temporary(spark):
+        kept = written(spark.range(5))
+        kept.selectExpr("id * 2 AS id").write.parquet(stays)
+        inside = kept.inputFiles()[0].removeprefix("file://")
+    assert spark.read.parquet(stays).count() == 5
+    with pytest.raises(Exception):
+        open(inside)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from larkspur.sources import shared
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://far:7077", "applicationId": "x", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Far)
