@@ -47,6 +47,11 @@ def drop(*cuts: DataFrame) -> None:
         remove_path(df.sparkSession, df._larkspur_path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Spark lets go of the broadcasts and shuffles of plans that are gone only when the driver's JVM collects them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """The size of what df reads: Catalyst's figures of its plan's leaves, for scans those of their files. Leaves
     without a figure (they show the default, which is next to infinite) count as 0."""
@@ -134,6 +139,11 @@ def in_slices(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> It
 def trimmed(out: Iterator) -> Iterator:
     """out; at its end the worker, which stays for later tasks, gives what it no longer uses back to the system."""
     yield from out
+    trim()
+
+
+def trim() -> None:
+    """Gives what this process no longer uses back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _LIBC:

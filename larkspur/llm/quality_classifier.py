@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents, few_at_once, trimmed
+from larkspur.llm.common import documents, few_at_once, trim, trimmed
 
 #: Words and shapes hash to SLOTS rows each; vectors have WIDTH numbers; the matrix travels in BLOCKS.
 SLOTS, WIDTH, BLOCKS, SPAN = 1 << 14, 32, 16, 2
@@ -207,7 +207,10 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learnt = learnt.sort_values(["doc_id", "pooled"]).drop_duplicates("doc_id")
     y = learnt["_label"].to_numpy(float)
     network = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y, WEIGHTS) if len(set(y)) > 1 else None
-    return QualityModel(vectors, network, float(y.mean()) if len(y) else 0.5)
+    flat = float(y.mean()) if len(y) else 0.5
+    del learnt, y
+    trim()  # the driver lives on
+    return QualityModel(vectors, network, flat)
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
