@@ -60,11 +60,16 @@ def input_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 60)
 
 
-def buckets(df: DataFrame, each: int = 2) -> int:
-    """How many buckets the hashed work of df is dealt to: so many that each has about BUCKET_BYTES of it, and no fewer
-    than `each` a shuffle partition."""
+def buckets(df: DataFrame, each: int = 2, held: int = BUCKET_BYTES) -> int:
+    """How many buckets the hashed work of df is dealt to: so many that each has about `held` bytes of what df reads, and
+    no fewer than `each` a shuffle partition. Work that unfolds a row into many takes the less of them."""
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * each
-    return max(few, min(input_bytes(df) // BUCKET_BYTES, MOST_BUCKETS)) | 1
+    return max(few, min(input_bytes(df) // held, MOST_BUCKETS)) | 1
+
+
+def chunk(least: int, n_buckets: int) -> int:
+    """How many rows a task deals at a time: the more buckets there are, the more, so that packed rows don't get tiny."""
+    return min(max(least, n_buckets // 4), 1 << 16)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NO_ID, cut, documents, join_groups
+from larkspur.llm.common import NO_ID, buckets, cut, documents, join_groups
 
 #: Characters that don't count, as bytes: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS, KICKS = 4, 200
+#: Bytes of written digests whose index a task holds; there it takes about ten times as much.
+HELD = 16 << 20
 
 
 class CuckooFilter:
@@ -183,12 +185,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     set. Texts of any length are hashed whole; further columns stay behind, and an empty table gives no rows.
 
     Each partition of documents groups its digests in a cuckoo index of its own; the groups are dealt by digest, and
-    each task merges its digests in an index that holds them alone. A hot text reaches it as one row from each
-    partition. The documents then meet their groups by join_groups().
+    each task merges its digests in an index that holds them alone; how many tasks follows the size of the digests.
+    A hot text reaches its task as one row from each partition. The documents then meet their groups by join_groups().
     """
     plain = documents(docs, id_col, text_col).withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID)), "points": F.coalesce(F.length(F.col("body").cast("string")), F.lit(0)).cast("long")})
     rows = cut(plain.mapInArrow(_digests, "doc_id long, points long, row long, digest binary"))
-    groups = cut(rows.mapInArrow(_local, GROUPS).repartition("digest").mapInArrow(_whole, GROUPS))
+    groups = cut(rows.mapInArrow(_local, GROUPS).repartition(buckets(rows, 1, HELD), "digest").mapInArrow(_whole, GROUPS))
     out = join_groups(rows, groups.drop("points"), "digest", "group_size", rows.count())
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(

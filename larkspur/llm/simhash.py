@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larkspur.llm.common import NO_ID, PACKED, buckets, cut, documents, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
+from larkspur.llm.common import NO_ID, PACKED, buckets, chunk, cut, documents, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
 from larkspur.llm.components import components
 
 #: Words in a shingle, seed of XXH64.
@@ -21,6 +21,8 @@ BYTES = 8
 SMALL, SPLIT = 16, 2048
 #: Fingerprints that a task deals to the index at a time.
 AT_ONCE = 8_000
+#: Bytes of written fingerprints to a bucket of the index, where each is listed 70 times.
+HELD = 4 << 20
 
 
 def fingerprint(body: bytes) -> int:
@@ -139,7 +141,8 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     of up to SMALL give their pairs, longer ones a spanning forest, so no list gives more than it has members times
     SMALL. A list holds distinct fingerprints, 9 bytes each, however many documents have them.
     """
-    n, masks = buckets(distinct), position_sets(most)
+    n, masks = buckets(distinct, held=HELD), position_sets(most)
+    at_once = chunk(AT_ONCE, n)
 
     def dealt(fps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         which = np.repeat(np.arange(len(masks)), len(fps))
@@ -153,7 +156,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
             held = []
             for batch in batches:
                 held.append(batch["fp"].to_numpy().astype(np.int64).view(np.uint64))
-                if sum(map(len, held)) >= AT_ONCE:
+                if sum(map(len, held)) >= at_once:
                     yield from dealt(np.concatenate(held))
                     held = []
             if held:
