@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import buckets, cut
 
 OWN = ("_part", "_tie", "size", "text_crc32", "shard", "slot")
+#: Bytes of documents to a range partition, which has only about 30 of each of them.
+RANGE = 4 << 30
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,12 +28,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """
     if clash := set(keep) & {*OWN, "doc_id"}:
         raise ValueError(f"keep names columns that sharding makes: {sorted(clash)}")
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("_tie"), *keep)
     order = ["doc_id", "text_crc32", "size", "_tie"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    placed = cut(rows.repartitionByRange(buckets(docs, 1, RANGE), *order).withColumn("_part", F.spark_partition_id()))
 
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
@@ -46,7 +46,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     start = F.col("_bytes_before") + F.col("_upto") - F.col("size")
     # Twice the middle of the row's bytes, times the shards, stays below 2**63 for 100 TB in 20,000 shards.
     cuts = F.expr(f"least({shards - 1}, ((2 * (_bytes_before + _upto) - size) * {shards}) div (2 * _all))").cast("int")
-    # One row a partition: fewer than spark.sql.shuffle.partitions.
+    # One row a partition: at most MOST_BUCKETS, and 25,000 at 100 TB.
     sharded = summed.join(F.broadcast(totals), "_part").withColumns({"_start": start, "shard": cuts, "_number": F.col("_rows_before") + F.col("_nth")})
     firsts = sharded.groupBy("shard").agg(F.min("_number").alias("_first"))  # one row a shard
     return sharded.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_number") - F.col("_first")).cast("long").alias("slot"), *keep)
