@@ -190,7 +190,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """A model whose word vectors come from all rows of docs, and whose network learns from at most sample labelled rows.
 
     Rows that are held out (crc32 of doc_id as text, modulo 5, is 0) are never learnt from; of the others those of least
-    hash are. Null labels and labels of unknown documents don't count; of several labels of a document the largest does.
+    hash are, and of rows that share a doc_id one. Null labels and labels of unknown documents don't count; of several
+    labels of a document the largest does.
     """
     plain = documents(docs, id_col, text_col)
     vectors = word_vectors(plain)
@@ -203,8 +204,9 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_label"], pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "_label", "pooled"])
 
     sent = docs.sparkSession.sparkContext.broadcast(vectors)  # 4 MB
-    learnt = plain.join(F.broadcast(known), "doc_id").mapInArrow(pool, "doc_id long, _label double, pooled binary").toPandas()  # sample rows of 264 bytes
-    learnt = learnt.sort_values(["doc_id", "pooled"]).drop_duplicates("doc_id")
+    learnt = plain.join(F.broadcast(known), "doc_id").mapInArrow(pool, "doc_id long, _label double, pooled binary")
+    learnt = learnt.groupBy("doc_id").agg(F.min("_label").alias("_label"), F.min("pooled").alias("pooled"))  # however often a doc_id occurs
+    learnt = learnt.toPandas().sort_values("doc_id")  # at most sample rows of 264 bytes
     y = learnt["_label"].to_numpy(float)
     network = Network(np.stack([np.frombuffer(b, np.float32) for b in learnt["pooled"]]).astype(float), y, WEIGHTS) if len(set(y)) > 1 else None
     flat = float(y.mean()) if len(y) else 0.5
