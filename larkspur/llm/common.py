@@ -67,6 +67,13 @@ def buckets(df: DataFrame, each: int = 2, held: int = BUCKET_BYTES) -> int:
     return max(few, min(input_bytes(df) // held, MOST_BUCKETS)) | 1
 
 
+def by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """rows (column bucket) with a bucket's rows in one partition, a partition for each 16 buckets but no fewer than
+    spark.sql.shuffle.partitions; grouping by bucket afterwards needs no other shuffle. A task has its buckets one by one."""
+    parts = n_buckets // 16
+    return rows.repartition(parts, "bucket") if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("bucket")
+
+
 def chunk(least: int, n_buckets: int) -> int:
     """How many rows a task deals at a time: the more buckets there are, the more, so that packed rows don't get tiny."""
     return min(max(least, n_buckets // 4), 1 << 16)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from larkspur.llm.common import NO_ID, PACKED, buckets, cut, in_slices, mix, pack, split_by, trimmed, unpack
+from larkspur.llm.common import NO_ID, PACKED, buckets, by_bucket, cut, in_slices, mix, pack, split_by, trimmed, unpack
 from larkspur.llm.repeats import MARKS, SEGMENTS, _at, _document, _merged, _news, _sent, bodies, keyed, lines, rows_of, settle, to_documents, without_marks
 from larkspur.llm.windows import window_minima
 
@@ -157,7 +157,7 @@ def join_segments(entries: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from trimmed(in_slices(rows(batches)))
 
-    return entries.groupBy("bucket").applyInArrow(run, PACKED)
+    return by_bucket(entries, buckets).groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def _left(body: bytes, units: list[bytes], gone: np.ndarray) -> bytes:
@@ -184,5 +184,5 @@ def line_dedup(docs: DataFrame, window: int = 4, keep: tuple[str, ...] = (), id_
     n = buckets(docs)
     source = keyed(docs, id_col, text_col, keep)
     found = segment_entries(source.select("doc_id", "body"), window, n)
-    found = settle(join_segments(found, window, n), runs=False).where(F.col("kind") == MARKS)
-    return without_marks(bodies(source, n, keep), cut(to_documents(found, n)), source, lines, _left, 1, keep)
+    found = settle(join_segments(found, window, n), n, runs=False).where(F.col("kind") == MARKS)
+    return without_marks(bodies(source, n, keep), cut(to_documents(found, n)), n, source, lines, _left, 1, keep)

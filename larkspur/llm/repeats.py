@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-from larkspur.llm.common import NO_ID, PACKED, PACKED_ARROW, documents, in_slices, mix, pack, packed_batch, split_by, trimmed, unpack, unpack_all
+from larkspur.llm.common import NO_ID, PACKED, PACKED_ARROW, by_bucket, documents, in_slices, mix, pack, packed_batch, split_by, trimmed, unpack, unpack_all
 from larkspur.llm.windows import window_hashes, window_minima
 
 ENTRIES, MARKS, MIXED, RUN, BODIES, SEGMENTS = range(6)
@@ -225,13 +225,13 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes
             yield bucket, kind, blob.as_py()
 
 
-def settle(entries: DataFrame, runs: bool = True) -> DataFrame:
-    """settled() of each bucket."""
+def settle(entries: DataFrame, n_buckets: int, runs: bool = True) -> DataFrame:
+    """settled() of each of n_buckets buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed_batch(settled(rows_of(batches), runs))
 
-    return entries.groupBy("bucket").applyInArrow(run, PACKED)
+    return by_bucket(entries, n_buckets).groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def _home(doc: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
@@ -293,9 +293,9 @@ def _spans_of(parts: list[dict], kinds=SPANS) -> dict[tuple[int, int], tuple[np.
     return {(int(s["doc"][a]), int(s["tie"][a])): (s["start"][a:b].astype(np.int64), s["count"][a:b].astype(np.int64)) for a, b in zip(at, np.append(at[1:], len(s["doc"])))}
 
 
-def meeting(texts: DataFrame, spans: DataFrame) -> DataFrame:
+def meeting(texts: DataFrame, spans: DataFrame, n_buckets: int) -> DataFrame:
     """Packed texts and spans by bucket, a bucket's spans first."""
-    return texts.unionByName(spans).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return by_bucket(texts.unionByName(spans), n_buckets).sortWithinPartitions("bucket", "kind")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
@@ -338,7 +338,7 @@ def window_entries(texts: DataFrame, mixed: DataFrame, tokenise: Tokenise, windo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(in_slices(rows(batches)))
 
-    return meeting(texts, mixed).mapInArrow(run, PACKED)
+    return meeting(texts, mixed, buckets).mapInArrow(run, PACKED)
 
 
 def removed_units(start: np.ndarray, count: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -349,7 +349,7 @@ def removed_units(start: np.ndarray, count: np.ndarray, window: int, n: int) ->
     return np.cumsum(edge[:n]) > 0
 
 
-def without_marks(texts: DataFrame, marks: DataFrame, source: DataFrame, tokenise: Tokenise, rebuild: Callable[[bytes, list[bytes], np.ndarray], bytes], window: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def without_marks(texts: DataFrame, marks: DataFrame, n_buckets: int, source: DataFrame, tokenise: Tokenise, rebuild: Callable[[bytes, list[bytes], np.ndarray], bytes], window: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_units, n_removed, removed (spans of units: start, stop), text, and the columns in keep.
 
     rebuild makes the new text of a document from the old one, its units and which of them go; texts without a
@@ -378,7 +378,7 @@ def without_marks(texts: DataFrame, marks: DataFrame, source: DataFrame, tokenis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(done(batches))
 
-    return meeting(texts, marks).mapInArrow(run, schema)
+    return meeting(texts, marks, n_buckets).mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larkspur.llm.common import NO_ID, PACKED, buckets, chunk, cut, documents, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
+from larkspur.llm.common import NO_ID, PACKED, buckets, by_bucket, chunk, cut, documents, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
 from larkspur.llm.components import components
 
 #: Words in a shingle, seed of XXH64.
@@ -186,7 +186,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return distinct.select("fp").mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return by_bucket(distinct.select("fp").mapInArrow(deal, PACKED), n).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

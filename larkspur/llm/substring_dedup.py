@@ -92,7 +92,7 @@ class FingerprintIndex:
             merge = lambda new, old: pa.Table.from_batches([packed_batch(settled([*_rows(old), *_rows(new)]))])
             found = entries.groupBy("bucket").cogroup(self._read(RUN).groupBy("bucket")).applyInArrow(merge, PACKED)
         else:
-            found = settle(entries)
+            found = settle(entries, self.state["buckets"])
         self._write(found, self.table, number, self.state["folder"])
         self._write_state(runs=[*self.runs, number])
         out = cut(self.spark.table(self.table).where(F.col("kind").isin(MARKS, MIXED) & (F.col("run") == number)).drop("run"))
@@ -202,6 +202,6 @@ def substring_dedup(
     if own:
         index.remove()
     mixed, marks = dealt.where(F.col("kind") == MIXED), dealt.where(F.col("kind") == MARKS)
-    more = settle(window_entries(bodies(every, n), mixed, words, window, n), runs=False).where(F.col("kind") == MARKS)
+    more = settle(window_entries(bodies(every, n), mixed, words, window, n), n, runs=False).where(F.col("kind") == MARKS)
     marks = marks.unionByName(cut(to_documents(more, n)))
-    return without_marks(bodies(source, n, keep), marks, source, words, _spaced if spaced else _as_it_was, window, keep)
+    return without_marks(bodies(source, n, keep), marks, n, source, words, _spaced if spaced else _as_it_was, window, keep)
