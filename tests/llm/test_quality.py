@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 
-from larkspur.llm import quality_classifier
 from larkspur.llm.quality_classifier import Network, pooled, quality_model, score_quality, scored
 from larkspur.llm.quality_rules import measure, quality_votes, weigh
 
@@ -163,8 +162,8 @@ def test_pooling_ignores_neighbours():
 
 
 def test_a_labelled_id_in_most_rows_is_learnt_from_once(spark, docs, monkeypatch):
-    fitted, plain = [], quality_classifier.Network
-    monkeypatch.setattr(quality_classifier, "Network", lambda x, y, w: fitted.append(len(y)) or plain(x, y, w))
+    fitted, plain = [], Network.__init__
+    monkeypatch.setattr(Network, "__init__", lambda self, x, y, w: fitted.append(len(y)) or plain(self, x, y, w))
     ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
     given = [(i, f"some words of text {i}") for i in ids] + [(ids[0], f"other words {k % 50}") for k in range(500)]
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
