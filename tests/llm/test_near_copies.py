@@ -2,12 +2,10 @@
 
 import random
 
-import numpy as np
 import pytest
 
 import corpus_pipeline as p
 from larkspur.llm import near_copies
-from larkspur.llm.common import pack
 from larkspur.llm.near_copies import similar_dedup
 from larkspur.llm.simhash import fingerprint
 
@@ -64,31 +62,3 @@ def test_repeated_and_empty(spark, docs):
     assert similar_dedup(docs([])).count() == 0
     left = similar_dedup(docs([(9, "a b"), (9, "a b"), (None, "a b"), (None, "x y")]))
     assert sorted(repr(r.doc_id) for r in left.collect()) == ["9", "None", "None"] and left.columns == docs([]).columns
-
-
-def test_tasks_star_large_bands(spark, docs, monkeypatch):
-    """Bands that are large in single tasks, and in buckets that hold few keys at a time."""
-    monkeypatch.setattr(near_copies, "SMALL", 2)
-    monkeypatch.setattr(near_copies, "AT_ONCE", 20)
-    monkeypatch.setattr(near_copies, "HELD", 64)
-    draw = random.Random(3)
-    base = [" ".join(f"w{draw.randrange(500)}" for _ in range(150)) for _ in range(3)]
-    given = [(i, changed(draw, draw.choice(base), draw.randrange(4))) for i in range(300)]
-    kept = slow_firsts(given)
-    assert {r.doc_id for r in similar_dedup(docs(given)).collect()} == kept and len(kept) < 250
-
-
-def test_a_large_band_is_never_held_whole(monkeypatch):
-    """All nodes of a band that comes in 200 parts are linked, and so are those of small bands; few keys are held."""
-    seen, plain = [], near_copies._starred
-    monkeypatch.setattr(near_copies, "_starred", lambda key, *rest: seen.append(len(key)) or plain(key, *rest))
-    part = lambda key, node, many=0: pack(key=np.array(key, np.uint64), node=np.array(node, np.int64), many=np.full(len(key), many, bool))
-    order = np.random.default_rng(0).permutation(2000).reshape(200, 10)
-    rows = [(0, part([7] * 10, nodes)) for nodes in order]
-    rows += [(0, part([8, 8, 9], [5000, 5001, 5002])), (0, part([10], [6000], many=1)), (0, part([10], [6001]))]
-    rows += [(near_copies.STARS, pack(a=np.array([1]), b=np.array([9000]), key=np.array([7], np.uint64)))]
-    out = [(r["a"], r["b"], r["band"]) for batch in near_copies.matched(iter(rows), 4, 100) for r in batch.to_pylist()]
-    above = {b: a for a, b, band in out if band == 7}
-    assert len(above) == 2000 and set(above) == {*range(1, 2000), 9000} and all(a < b for b, a in above.items())
-    assert sorted((o for o in out if o[2] != 7), key=str) == [(5000, 5001, None), (6000, 6001, 10)]
-    assert max(seen) <= 210
