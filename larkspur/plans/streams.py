@@ -83,7 +83,10 @@ _PAYLOAD = ("event_type", "ts", "user_id", "borough", "zone")
 def stream_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     """One model for all events of the stream: cluster, distance, time, source, user, borough, zone and features of each."""
     events = _stream(spark, sf).withColumn("hour", F.hour("ts").cast("double")).join(_placed(spark, sf), "user_id", "left")
-    found = _ran(spark, windows.stream_kmeans(events, 5, _SCALES, "event_id", _PAYLOAD), "clusters")
+    path = own_path(spark, "clusters")
+    ran, schema = windows.kmeans_to_files(events, path, own_path(spark, "offsets"), 5, _SCALES, "event_id", _PAYLOAD)
+    ran.awaitTermination()
+    found = spark.read.schema(schema).parquet(f"{path}/rows/*")
     return found.where("kind = 'point'").drop("kind", "event_count", "count", "centre")
 
 

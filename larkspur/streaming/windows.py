@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -71,24 +72,71 @@ def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Points that follow() settles at a time: at first, at most; and rounds in which it mends its guess before it takes fewer.
+LEAST, MOST, ROUNDS = 16, 8192, 4
+
+
+def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of points (m x d) to each of k centres, which stay (k x 1 x d) or move (k x m x d)."""
+    out = np.zeros((len(centres), len(points)))
+    for j in range(points.shape[1]):
+        gap = points[:, j] - centres[:, :, j]
+        out += gap * gap
+    return out
+
+
+def _ways(points: np.ndarray, ids: np.ndarray, centres: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The centres that each point meets (k x m x d) if the points go to ids in turn; centres and counts after them."""
+    met, last = np.empty((len(centres), *points.shape)), np.empty_like(centres)
+    for c in range(len(centres)):
+        own = ids == c
+        mine, first = points[own], int(counts[c]) + 1
+        way = np.empty((len(mine) + 1, points.shape[1]))
+        for j in range(points.shape[1]):
+            x = float(centres[c, j])
+            steps = [x]
+            for n, v in enumerate(mine[:, j].tolist(), first):
+                x += (v - x) / n
+                steps.append(x)
+            way[:, j] = steps
+        met[c], last[c] = way[np.cumsum(own) - own], way[-1]
+    return met, last, counts + np.bincount(ids, minlength=len(centres))
+
+
 def follow(points: np.ndarray, centres: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cluster and distance of each point, taken in turn, and the centres and counts after them.
 
     While there are fewer than k centres, points become some (distance 0). Afterwards the nearest centre (of equals the
     one with the lowest number) takes the point and moves by its share of the gap; distances are those before it moves.
+
+    Points are settled a stretch at a time, with the result of one by one: clusters are guessed, centres moved by the
+    guess, and each point's nearest centre found anew. Up to the first point whose cluster changes all are right, and so
+    is that point's new one.
     """
     seeds = max(0, min(k - len(centres), len(points)))
     ids, distances = np.zeros(len(points), np.int64), np.zeros(len(points))
     ids[:seeds] = np.arange(len(centres), len(centres) + seeds)
     centres = np.concatenate([centres.reshape(-1, points.shape[1]), points[:seeds]]).astype(float)
     counts = np.concatenate([counts, np.ones(seeds, np.int64)]).astype(np.int64)
-    for i in range(seeds, len(points)):
-        gaps = points[i] - centres
-        square = (gaps * gaps).sum(axis=1)
-        ids[i] = at = int(square.argmin())
-        distances[i] = square[at] ** 0.5
-        counts[at] += 1
-        centres[at] += gaps[at] / counts[at]
+    at, most = seeds, LEAST if counts.sum() < 100 * MOST else MOST
+    while at < len(points):
+        some = points[at : at + most]
+        found, rounds = _squares(some, centres[:, None]).argmin(axis=0), 0
+        while True:
+            guess, rounds = found, rounds + 1
+            met, last, numbers = _ways(some, guess, centres, counts)
+            squares = _squares(some, met)
+            found = squares.argmin(axis=0)
+            changed = np.flatnonzero(found != guess)
+            if not len(changed) or rounds == ROUNDS:
+                break
+        right = int(changed[0]) + 1 if len(changed) else len(some)
+        if len(changed):
+            _, last, numbers = _ways(some[:right], found[:right], centres, counts)
+        ids[at : at + right] = found[:right]
+        distances[at : at + right] = np.sqrt(squares[found[:right], np.arange(right)])
+        centres, counts, at = last, numbers, at + right
+        most = min(2 * most, MOST) if rounds < 3 else max(most // 2, LEAST)
     return ids, distances, centres, counts
 
 
@@ -205,7 +253,8 @@ def stream_kmeans(rows: DataFrame, k: int, features: dict[str, float], key: str,
 
     Rows of kind point are the events, one for one. Those of kind centre are snapshots, one a cluster, in the first
     batch after each `every` events; their centre is unscaled, four places. Points of a micro-batch are taken in the
-    order of key; maxFilesPerTrigger bounds what a group holds of it at a time.
+    order of key; maxFilesPerTrigger bounds what a group holds of it at a time. kmeans_to_files() is the form for one
+    model and batches of any size.
     """
     names, own, scales = list(features), group or "_all", np.array(list(features.values()), float)
     rows = rows if group else rows.withColumn(own, F.lit("all"))
@@ -233,6 +282,122 @@ def stream_kmeans(rows: DataFrame, k: int, features: dict[str, float], key: str,
     return out if group else out.drop(own)
 
 
+#: Rows of a block, and blocks that a task takes at a time.
+BLOCK, BLOCKS_AT_ONCE = 4096, 64
+_MODEL = "block long, centres binary, counts binary"
+
+
+def _blocks(rows: DataFrame, features: dict[str, float]) -> DataFrame:
+    """block (numbers that ascend as rows do), points (scaled) and rows of each stretch of up to BLOCK sorted rows."""
+    names, scales, size = list(features), np.array(list(features.values()), float), BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
+            points = np.column_stack([table[n].to_numpy() for n in names]) / scales
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([points.tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "points", "rows"])
+
+        held, left = [], size
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, left))
+                at, left = at + held[-1].num_rows, left - held[-1].num_rows
+                if not left:
+                    yield block(held)
+                    number, held, left = number + 1, [], size
+        if held:
+            yield block(held)
+
+    return rows.mapInArrow(run, "block long, points binary, rows binary")
+
+
+def _models(blocks: DataFrame, before: DataFrame, k: int, n: int) -> DataFrame:
+    """The model (centres, counts) that each block meets, and under no block the one after all; before: the one at first.
+
+    One task takes the blocks in turn, points alone.
+    """
+
+    def model(block: int | None, centres: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([centres.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["block", "centres", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, counts = np.zeros((0, n)), np.zeros(0, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["points"] is None:
+                    centres, counts = np.frombuffer(row["centres"]).reshape(-1, n), np.frombuffer(row["counts"], np.int64)
+                    continue
+                yield model(row["block"], centres, counts)
+                _, _, centres, counts = follow(np.frombuffer(row["points"]).reshape(-1, n), centres, counts, k)
+        yield model(None, centres, counts)
+
+    first = before.select(F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("points"), "centres", "counts")
+    rows = blocks.select("block", "points").unionByName(first, allowMissingColumns=True)
+    return rows.repartition(1).sortWithinPartitions("block").mapInArrow(run, _MODEL)
+
+
+def kmeans_to_files(rows: DataFrame, path: str, checkpoint: str, k: int, features: dict[str, float], key: str, keep: Sequence[str] = (), every: int = 1000) -> tuple[StreamingQuery, str]:
+    """The rows of stream_kmeans() without group, written under path, and their schema; they are read from path/rows/*.
+
+    The same model for micro-batches of any size. A batch is sorted by key in tasks and cut into blocks. One task takes
+    the blocks' points in turn, nothing else, and notes the model that each block meets; all tasks then place the rows
+    of their blocks from there. A batch overwrites what it left when it is repeated; the model after it is in
+    path/models, so the same path and checkpoint resume.
+    """
+    names, scales, n = list(features), np.array(list(features.values()), float), len(features)
+    kept = [c for c in keep if c not in names]
+    cleaned = rows.select(key, *kept, *[clean(F.col(c)).alias(c) for c in names])
+    kinds = {c: cleaned.schema[c].dataType.simpleString() for c in cleaned.columns}
+    schema = "kind string, cluster_id long, cluster_distance double, " + ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", event_count long, count long, centre array<double>"
+    columns = ["kind", "cluster_id", "cluster_distance", *kinds, "event_count", "count", "centre"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                points = np.frombuffer(row["points"]).reshape(-1, n)
+                ids, distances, _, _ = follow(points, np.frombuffer(row["centres"]).reshape(-1, n), np.frombuffer(row["counts"], np.int64), k)
+                table = pa.ipc.open_stream(row["rows"]).read_all().combine_chunks()
+                size = len(table)
+                none = [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.float64()))]
+                own = [c.combine_chunks() for c in (table[x] for x in kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(["point"] * size), pa.array(ids), pa.array(distances.round(6)), *own, *none], names=columns)
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BLOCKS_AT_ONCE)}
+        old = {c: spark.conf.get(c) for c in settings}
+        at = {x: f"{path}/{x}/{number}" for x in ("blocks", "models", "rows")}
+        try:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            ready = batch.repartitionByRange(key, *names).sortWithinPartitions(key, *names)
+            _blocks(ready, features).write.mode("overwrite").option("compression", "zstd").parquet(at["blocks"])
+            for c, value in settings.items():
+                spark.conf.set(c, value)
+            blocks = spark.read.schema("block long, points binary, rows binary").parquet(at["blocks"])
+            first = spark.read.schema(_MODEL).parquet(f"{path}/models/{number - 1}").where("block IS NULL") if number else spark.createDataFrame([(None, b"", b"")], _MODEL)
+            before = int(np.frombuffer(first.first()["counts"], np.int64).sum())
+            _models(blocks, first, k, n).write.mode("overwrite").parquet(at["models"])
+            models = spark.read.schema(_MODEL).parquet(at["models"])
+            after = models.where("block IS NULL").first()
+            centres, counts = np.frombuffer(after["centres"]).reshape(-1, n), np.frombuffer(after["counts"], np.int64)
+            out = blocks.join(models, "block").mapInArrow(placed, schema)
+            if (total := int(counts.sum())) // every > before // every:
+                shots = [("centre", i, total, int(c), [float(x) for x in place]) for i, (c, place) in enumerate(zip(counts, (centres * scales).round(4)))]
+                out = out.unionByName(spark.createDataFrame(shots, "kind string, cluster_id long, event_count long, count long, centre array<double>"), allowMissingColumns=True)
+            out.write.mode("overwrite").parquet(at["rows"])
+            _remove(spark, at["blocks"])
+        finally:
+            for c, value in old.items():
+                spark.conf.set(c, value)
+
+    return cleaned.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), schema
+
+
 def ordered_messages(rows: DataFrame, path: str, key: str, order: Sequence[str], files: int, last: str | None = None) -> None:
     """Rows as keyed JSON messages in `files` files whose names and times ascend in the rows' order, for replay(..., MESSAGES).
 
@@ -258,6 +423,11 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
 def _files(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
     """Time and size of the data files of a folder, by name."""
     system, folder = _hadoop(spark, path)

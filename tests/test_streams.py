@@ -1,10 +1,12 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.streaming import windows
 
+SF = "/root/testdata/sf0.001"
 TS = dt.datetime
 SCHEMA = "ts timestamp, kind string, value double, id long"
 
@@ -98,6 +100,72 @@ def test_kmeans_of_batch_and_stream_agree(spark, tmp_path):
     assert shots == [(k, 4, i, n, [c]) for k in "ab" for i, n, c in ((0, 3, 2.0), (1, 1, 10.0))]
 
 
+def one_by_one(points, k):
+    centres, counts, out = [], [], []
+    for x in points:
+        gaps = [[a - b for a, b in zip(x, c)] for c in centres]
+        squares = [sum(g * g for g in gap) for gap in gaps]
+        if len(centres) < k:
+            out.append((len(centres), 0.0))
+            centres.append(list(x))
+            counts.append(1)
+            continue
+        at = squares.index(min(squares))
+        out.append((at, squares[at] ** 0.5))
+        counts[at] += 1
+        centres[at] = [c + g / counts[at] for c, g in zip(centres[at], gaps[at])]
+    return out, centres, counts
+
+
+@pytest.mark.parametrize("size", [1, 3, 20_000])
+def test_stretches_give_what_single_points_give(size, monkeypatch):
+    """Also where centres swap points all the time (few values, many ties), and wherever a call ends."""
+    monkeypatch.setattr(windows, "MOST", 4096)
+    draw = np.random.default_rng(size)
+    for points in (draw.random((3000, 2)), draw.integers(0, 4, (3000, 2)).astype(float), draw.exponential(size=(3000, 1)), np.repeat(draw.random((30, 3)), 100, axis=0)):
+        want, centres, counts = one_by_one(points.tolist(), 5)
+        found = [np.zeros(0), np.zeros(0), np.zeros((0, points.shape[1])), np.zeros(0, np.int64)]
+        for at in range(0, len(points), size):
+            some = windows.follow(points[at : at + size], found[2], found[3], 5)
+            found = [np.concatenate([found[0], some[0]]), np.concatenate([found[1], some[1]]), *some[2:]]
+        assert found[0].tolist() == [w[0] for w in want] and np.allclose(found[1], [w[1] for w in want], rtol=0, atol=1e-12)
+        assert found[2].tolist() == centres and found[3].tolist() == counts
+
+
+def test_rows_of_one_model_are_placed_by_many_tasks(spark, monkeypatch):
+    """The query's rows are those of one model, event by event; no task has them all."""
+    from larkspur.plans.streams import QUERIES
+
+    monkeypatch.setattr(windows, "BLOCK", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task's
+    try:
+        found = QUERIES["stream_kmeans"](spark, SF).withColumn("file", F.input_file_name()).orderBy("event_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect()
+    want = one_by_one([(e.value / 100.0, e.ts.hour / 24.0) for e in events], 5)[0]
+    assert [(r.event_id, r.event_type, r.ts, r.user_id, r.value, r.cluster_id) for r in found] == [(e.event_id, e.event_type, e.ts, e.user_id, e.value, w[0]) for e, w in zip(events, want)]
+    assert all(abs(r.cluster_distance - w[1]) < 1e-6 for r, w in zip(found, want))
+    assert len({r.file for r in found}) > 1
+
+
+def test_model_in_files_resumes(spark, tmp_path):
+    """A second run with the same path and checkpoint goes on with the model; snapshots come as in stream_kmeans()."""
+
+    def run():
+        query, schema = windows.kmeans_to_files(windows.replay(spark, str(tmp_path / "in" / "*"), SCHEMA), str(tmp_path / "out"), str(tmp_path / "c"), 2, {"value": 1.0}, "id", ["ts"], every=4)
+        query.awaitTermination()
+        return spark.read.schema(schema).parquet(str(tmp_path / "out" / "rows" / "*"))
+
+    _write(spark, tmp_path / "in", [_at(i, "a", p, i) for i, p in enumerate(POINTS[:3])], "0")
+    assert run().count() == 3
+    _write(spark, tmp_path / "in", [_at(i, "a", p, i) for i, p in enumerate(POINTS) if i > 2], "1")
+    found = run()
+    assert [r.cluster_id for r in found.where("kind = 'point'").orderBy("id").collect()] == [0, 1, 0, 0, 1, 0]
+    shots = sorted((r.event_count, r.cluster_id, r["count"], r.centre) for r in found.where("kind = 'centre'").collect())
+    assert shots == [(6, 0, 4, [2.5]), (6, 1, 2, [9.5])]
+
+
 def test_one_model_for_all(spark):
     rows = spark.createDataFrame([_at(i, "ab"[i % 2], p, i) for i, p in enumerate(POINTS)], SCHEMA)
     found = windows.online_kmeans(rows, 2, {"value": 1.0}, ["ts"], ["id"])
