@@ -1,4 +1,7 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles; MinHash bands give the candidates."""
+"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+
+SimHash's index of byte positions gives the candidates within 4 bits, MinHash bands those that are further apart.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +15,14 @@ from xxhash import xxh3_64_intdigest
 
 from larkspur.llm.common import NO_ID, PACKED, buckets, cut, documents, drop, in_slices, join_groups, mix, pack, split_by, trimmed, unpack
 from larkspur.llm.components import components
+from larkspur.llm.simhash import links as near_fingerprints
+from larkspur.llm.simhash import majority
 
 #: Words in a shingle; bands and least hashes in each: a pair of similarity 0.8 shares none in 7 of 10**10 cases.
 SHINGLE, BANDS, ROWS = 5, 40, 4
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits in which the fingerprints of candidates of the index differ at most.
+MOST = 4
 #: Texts of a band are compared pair by pair up to so many; a task has at most two blocks of so many about.
 SMALL, BLOCK = 16, 2048
 #: Texts that a task deals to the index at a time, and shingles that are hashed at a time.
@@ -62,18 +69,36 @@ def _signed(values) -> pa.Array:
 
 
 def _nodes(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """doc_id, node (a hash of the shingles), blob: the keys of the bands, or the shingles; none for texts without words."""
+    """doc_id, node (a hash of the shingles), fp (their SimHash fingerprint), blob: the keys of the bands, or the shingles;
+    none for texts without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(b or b"") for b in batch["body"].to_pylist()]
             blobs = [(h if with_sets else bands(h)).tobytes() if len(h) else b"" for h in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _signed([_node(h) for h in found]), pa.array(blobs, pa.binary())], names=["doc_id", "node", "blob"])
+            fps = [0 if with_sets else majority(h) for h in found]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _signed([_node(h) for h in found]), _signed(fps), pa.array(blobs, pa.binary())], names=["doc_id", "node", "fp", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(rows(batches))
 
-    return docs.mapInArrow(run, "doc_id long, node long, blob binary")
+    return docs.mapInArrow(run, "doc_id long, node long, fp long, blob binary")
+
+
+def fingerprinted(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes (node, fp) that connect those whose fingerprints differ in at most MOST bits.
+
+    op9's inverted index of byte positions with its count filter finds the fingerprints; the least node of one stands
+    for it, and is linked to its others.
+    """
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("_size")))
+    least = lambda side: firsts.select(F.col("fp").alias(side), F.col("least").alias(f"_{side}"))
+    between = near_fingerprints(firsts, MOST).join(least("a"), "a").join(least("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    several = firsts.where("_size > 1")
+    within = join_groups(nodes.select("node", "fp").join(several, "fp", "left_semi"), several, "fp", "_size", nodes.count())
+    out = cut(between.unionByName(within.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    drop(firsts)
+    return out
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -181,9 +206,11 @@ def similar_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     """The rows of docs, all columns, whose doc_id is the smallest of their component: one document of each group.
 
     Documents link when the Jaccard similarity of their sets of 5-word shingles is at least `least` (0.8 or more);
-    components are all that links connect. Shingles are known by 64-bit hashes. Candidates share one of 40 MinHash
-    bands, and each link is verified on whole sets. A band with over SMALL sets gives its members' pairs with the least
-    one; if these don't connect it, its members are compared where they aren't connected yet, in blocks.
+    components are all that links connect. Shingles are known by 64-bit hashes. Candidates have SimHash fingerprints
+    (of these shingles) within 4 bits, found with the index of byte positions, or, as most sets of similarity 0.8 are
+    further apart, share one of 40 MinHash bands. Each link is verified on whole sets. A band with over SMALL sets gives
+    its members' pairs with the least one; if these don't connect it, its members are compared where links of either
+    kind don't connect them yet, in blocks.
 
     Texts without words link to each other alone. Null doc_ids are behind all others. Rows equal in doc_id and text are
     one document, and one of them stays; rows that share only doc_id stay or go together. An empty table gives no rows.
@@ -194,9 +221,11 @@ def similar_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     while own in docs.columns:
         own = f"_{own}"
     plain = documents(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = cut(_nodes(plain, False).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("blob").alias("blob")))
-    near = cut(candidates(found.where(F.length("blob") > 0)))
-    pairs = cut(near.select("a", "b").distinct())
+    found = cut(_nodes(plain, False).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("blob").alias("blob")))
+    worded = found.where(F.length("blob") > 0)
+    close, near = fingerprinted(worded), cut(candidates(worded))
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = cut(close.select(*ends).unionByName(near.select(*ends)).distinct())
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     some = plain.join(found.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = cut(_nodes(some, True).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
@@ -211,7 +240,7 @@ def similar_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         if not more.isEmpty():
             joined = cut(components(links.unionByName(more).distinct()))
         drop(members, more)
-    drop(near, pairs, wanted, sets, links)
+    drop(close, near, pairs, wanted, sets, links)
     groups = found.select("node", "first").join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
     firsts = groups.agg(F.min("first").alias(own)).select(own).distinct()
     rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))

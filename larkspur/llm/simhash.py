@@ -25,6 +25,15 @@ AT_ONCE = 8_000
 HELD = 4 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the 64-bit hashes; 0 of none."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = np.ascontiguousarray(hashes[at : at + (1 << 16)], "<u8")
+        bits += np.unpackbits(some.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(body: bytes) -> int:
     """64 majority bits of the XXH64 of all 4-word shingles, A-Z lower-cased; 0 without words."""
     words = body.lower().split()
@@ -34,12 +43,8 @@ def fingerprint(body: bytes) -> int:
     stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate([[0], stop[:-1] + 1])
     span = min(SHINGLE, len(words)) - 1
-    hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop[span:].tolist())]
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[at : at + (1 << 16)], "<u8")
-        bits += np.unpackbits(some.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+    ends = stop[span:].tolist()
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)), np.uint64, len(ends)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,3 +62,27 @@ def test_repeated_and_empty(spark, docs):
     assert similar_dedup(docs([])).count() == 0
     left = similar_dedup(docs([(9, "a b"), (9, "a b"), (None, "a b"), (None, "x y")]))
     assert sorted(repr(r.doc_id) for r in left.collect()) == ["9", "None", "None"] and left.columns == docs([]).columns
+
+
+def test_fingerprint_index_alone_gives_verified_links(spark, docs, monkeypatch):
+    """Without any band, copies within 4 bits go, as far as they share 0.8; equal fingerprints of other sets count too."""
+    monkeypatch.setattr(near_copies, "candidates", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long, band long"))
+    draw, given, close = random.Random(11), [], 0
+    fp = lambda text: near_copies.majority(near_copies.shingles(text.encode()))
+    for i in range(0, 60, 2):
+        text = " ".join(f"w{draw.randrange(10**6)}" for _ in range(400))
+        other = changed(draw, text, 1 if i % 4 else 30)
+        given += [(i, text), (i + 1, other)]
+        close += (fp(text) ^ fp(other)).bit_count() <= 4
+    left = {r.doc_id for r in similar_dedup(docs(given)).collect()}
+    assert 0 < close < 30 and len(given) - len(left) == close
+    assert left >= slow_firsts(given)
+
+
+def test_close_fingerprints_of_unlike_sets_do_not_link(spark, docs, monkeypatch):
+    """All fingerprints are equal: whatever the index gives is verified, so the rows are those of a brute force."""
+    monkeypatch.setattr(near_copies, "majority", lambda hashes: 5)
+    draw = random.Random(12)
+    given = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(50))) for i in range(40)]
+    given += [(100 + i, changed(draw, t, i % 3)) for i, t in given]
+    assert {r.doc_id for r in similar_dedup(docs(given)).collect()} == slow_firsts(given)
