@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from larkspur.functions.numbers import clean
 from larkspur.operators.aggregates import window_stats
+from larkspur.sources.shared import remove_path
 from larkspur.sources.sinks import as_json
 
 
@@ -390,7 +391,7 @@ def kmeans_to_files(rows: DataFrame, path: str, checkpoint: str, k: int, feature
                 shots = [("centre", i, total, int(c), [float(x) for x in place]) for i, (c, place) in enumerate(zip(counts, (centres * scales).round(4)))]
                 out = out.unionByName(spark.createDataFrame(shots, "kind string, cluster_id long, event_count long, count long, centre array<double>"), allowMissingColumns=True)
             out.write.mode("overwrite").parquet(at["rows"])
-            _remove(spark, at["blocks"])
+            remove_path(spark, at["blocks"])
         finally:
             for c, value in old.items():
                 spark.conf.set(c, value)
@@ -423,11 +424,6 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    system, at = _hadoop(spark, path)
-    system.delete(at, True)
-
-
 def _files(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
     """Time and size of the data files of a folder, by name."""
     system, folder = _hadoop(spark, path)
